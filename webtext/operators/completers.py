@@ -180,7 +180,7 @@ def term_weights(requests: DataFrame, corpus: DataFrame | None = None) -> tuple[
         )
     dfreq = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = tf.join(dfreq, "term").select(
-        "request_id", "term", "tf", "df", ((F.col("tf") * F.lit(WEIGHT_SCALE)) // F.col("df")).alias("weight")
+        "request_id", "term", "tf", "df", F.expr(f"(tf * {WEIGHT_SCALE}) div df").alias("weight")
     )
     return sentences, weights
 

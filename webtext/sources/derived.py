@@ -133,9 +133,9 @@ def user_requests(conversations: DataFrame) -> DataFrame:
 def decisions(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """One model decision text per request by ``k = request_id % 9`` (FIXTURES §3);
     ``page(i)`` = url of ``page_id = i % count(pages)``."""
-    n_pages = pages.agg(F.count(F.lit(1)).alias("n_pages")).withColumn("_one", F.lit(1))  # exactly one row
+    n_pages = pages.select(F.count(F.lit(1))).scalar()  # scalar subquery, one value
     p = pages.select("page_id", "url")
-    r = requests.select("request_id", F.lit(1).alias("_one")).join(F.broadcast(n_pages), "_one").drop("_one")
+    r = requests.select("request_id", n_pages.alias("n_pages"))
     r = (
         r.join(p.withColumnsRenamed({"page_id": "_p1", "url": "url1"}), F.col("_p1") == F.col("request_id") % F.col("n_pages"), "left")
         .join(p.withColumnsRenamed({"page_id": "_p2", "url": "url2"}), F.col("_p2") == (F.col("request_id") + 1) % F.col("n_pages"), "left")

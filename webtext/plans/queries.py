@@ -21,6 +21,7 @@ from ..operators import summarize as S
 from ..sources import derived as D
 from ..sources.tables import load_conversations, load_documents, load_pages
 from .answer import answer_requests, call_outcomes, decide, default_registry
+from .stream_queries import stream_answer_q, stream_extract_q, stream_sessions_q
 
 MODEL = "summary-model"
 AGENT_MODEL = "agent-model"
@@ -423,4 +424,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract_metrics": extract_metrics,
     "summary_metrics": summary_metrics,
     "agent_metrics": agent_metrics,
+    "stream_extract": stream_extract_q,
+    "stream_sessions": stream_sessions_q,
+    "stream_answer": stream_answer_q,
 }

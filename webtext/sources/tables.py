@@ -22,7 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stored response per row. ``status_code`` / ``content_type`` pass
     through when the snapshot has them, else NULL (the HTML path is taken)."""
-    df = read_table(spark, sf_dir, "pages")
+    return page_columns(read_table(spark, sf_dir, "pages"))
+
+
+def page_columns(df: DataFrame) -> DataFrame:
+    """The snapshot columns the extractor reads (works on batch and stream frames)."""
     cols = set(df.columns)
     return df.select(
         "page_id",

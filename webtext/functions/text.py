@@ -57,10 +57,14 @@ def word_count(col: Column | str) -> Column:
     return F.regexp_count(_c(col), F.lit(NON_WS_RE)).cast("long")
 
 
-def validate_content(col: Column | str) -> Column:
-    """Error text of the summarisation gate, NULL when the content passes."""
+def validate_content(col: Column | str, n_words: Column | None = None) -> Column:
+    """Error text of the summarisation gate, NULL when the content passes.
+
+    Pass ``n_words`` when the word count is already a column: Spark does not
+    share a subexpression between later CASE conditions, so it would count
+    the words of a long text again for each branch."""
     c = _c(col)
-    n = word_count(c)
+    n = word_count(c) if n_words is None else n_words
     return (
         F.when(c == F.lit(""), F.lit("content cannot be empty"))
         .when(n < 10, F.format_string("content too short (minimum 10 words, got %d)", n))

@@ -148,62 +148,116 @@ def _offline(requests: DataFrame, text: Column, model: str) -> DataFrame:
     )
 
 
+def lead_text(content: Column, max_length: Column) -> Column:
+    """S10 as an expression: the first ``max_length`` words (all when max_length <= 0)."""
+    w = words(content)
+    n = F.when(max_length > 0, max_length).otherwise(F.size(w))
+    return F.array_join(F.slice(w, 1, n), " ")
+
+
+def lead_columns(df: DataFrame) -> DataFrame:
+    """The lead completion added as columns of the same row (no join, no shuffle)."""
+    text = lead_text(F.col("content"), F.col("max_length"))
+    src = F.col("prompt") if "prompt" in df.columns else F.col("content")
+    return df.withColumns(
+        {
+            "text": text,
+            "model": F.lit("offline-lead"),
+            "prompt_tokens": word_count(src),
+            "completion_tokens": word_count(text),
+            "total_tokens": word_count(src) + word_count(text),
+            "error": F.lit(None).cast("string"),
+        }
+    )
+
+
 def lead_completer(requests: DataFrame) -> DataFrame:
     """The first ``max_length`` words (all words when max_length <= 0)."""
-    w = words(F.col("content"))
-    n = F.when(F.col("max_length") > 0, F.col("max_length")).otherwise(F.size(w))
-    return _offline(requests, F.array_join(F.slice(w, 1, n), " "), "offline-lead")
+    return _offline(requests, lead_text(F.col("content"), F.col("max_length")), "offline-lead")
 
 
-def term_weights(requests: DataFrame, corpus: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Sentences and per-(request, term) integer weights ``tf * 1e6 div df``.
-
-    ``df`` counts the documents of ``corpus`` (default: the requests) holding
-    a term. Both aggregations combine map-side, so a term found in most
-    documents ships one partial count per partition, not one row per document.
-    """
-    sentences = (
-        requests.select("request_id", F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(SENTENCE_RE), 0)).alias("pos", "raw"))
-        .select("request_id", "pos", ws_trim(F.col("raw")).alias("sentence"))
+def sentence_table(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sentences of each text with their position and lower-cased terms."""
+    return (
+        docs.select("request_id", *keep, F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(SENTENCE_RE), 0)).alias("pos", "raw"))
+        .select("request_id", *keep, "pos", ws_trim(F.col("raw")).alias("sentence"))
         .filter(F.col("sentence") != "")
+        .withColumn("terms", F.regexp_extract_all(F.lower(F.col("sentence")), F.lit(TERM_RE), 0))
     )
-    occ = sentences.select(
-        "request_id", "pos", F.explode(F.regexp_extract_all(F.lower(F.col("sentence")), F.lit(TERM_RE), 0)).alias("term")
+
+
+def _occurrences(sentences: DataFrame, *cols: str) -> DataFrame:
+    # explode_outer + NULL filter: a plain explode makes the optimizer add a
+    # size(terms) > 0 filter that re-runs the term regex for every sentence
+    return sentences.select("request_id", *cols, F.explode_outer("terms").alias("term")).filter(F.col("term").isNotNull())
+
+
+def _term_counts(sentences: DataFrame) -> DataFrame:
+    """``tf`` per (request, term): one exchange on (request_id, term) after
+    map-side partial counts."""
+    return _occurrences(sentences).groupBy("request_id", "term").agg(
+        F.count(F.lit(1)).alias("tf")
     )
-    tf = occ.groupBy("request_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _weights(tf: DataFrame, corpus: DataFrame | None) -> DataFrame:
+    """Join ``df`` to the term counts. ``df`` is counted from ``tf`` itself, so
+    both consumers share one exchange and the texts are tokenized once. It is the only term-keyed shuffle and combines map-side,
+    so a term found in most documents ships one partial count per partition.
+    The join is broadcast by adaptive execution when the measured vocabulary
+    is small, else a sort-merge join whose hot-term partitions adaptive skew
+    handling splits."""
     if corpus is None:
-        doc_terms = tf.select("request_id", "term")
+        # ``sum(tf)`` keeps the term-count aggregate itself in this branch
+        # (a plain count would be pruned to a distinct), so both consumers of
+        # ``tf`` share one exchange and the texts are tokenized once.
+        dfreq = (
+            tf.groupBy("term")
+            .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_occurrences"))
+            .filter(F.col("_occurrences") > 0)
+            .select("term", "df")
+        )
     else:
-        doc_terms = (
+        dfreq = (
             corpus.select("request_id", F.explode(F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_RE), 0)).alias("term"))
             .distinct()
+            .groupBy("term")
+            .agg(F.count(F.lit(1)).alias("df"))
         )
-    dfreq = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = tf.join(dfreq, "term").select(
+    return tf.join(dfreq, "term").select(
         "request_id", "term", "tf", "df", F.expr(f"(tf * {WEIGHT_SCALE}) div df").alias("weight")
     )
-    return sentences, weights
+
+
+def term_weights(requests: DataFrame, corpus: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sentences and per-(request, term) integer weights ``tf * 1e6 div df``."""
+    sentences = sentence_table(requests.select("request_id", "content"))
+    return sentences, _weights(_term_counts(sentences), corpus)
 
 
 def extractive_summaries(requests: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """S11 text per request: best sentences by summed term weight (ties: earlier
     first) taken while the words before them are under ``max_length``, output
-    in document order; ``bullet_points`` gives one ``- `` line per sentence."""
-    sentences, weights = term_weights(requests, corpus)
-    occ = sentences.select(
-        "request_id", "pos", F.explode(F.regexp_extract_all(F.lower(F.col("sentence")), F.lit(TERM_RE), 0)).alias("term")
-    )
+    in document order; ``bullet_points`` gives one ``- `` line per sentence.
+
+    The texts are tokenized once into a sentence table hash-partitioned by
+    request and cut from its lineage into the shared checkpoint folder: its
+    consumers (term counts, sentence scores, ranking) read different columns,
+    so without it every consumer would tokenize again. The checkpoint keeps
+    the partitioning, so the per-request window and assembly do not shuffle.
+    """
+    docs = requests.select("request_id", "content", "max_length", "style")
+    sentences = sentence_table(docs, keep=("max_length", "style")).repartition("request_id").checkpoint()
+    weights = _weights(_term_counts(sentences), corpus)
     scores = (
-        occ.join(weights.select("request_id", "term", "weight"), ["request_id", "term"])
+        _occurrences(sentences, "pos")
+        .join(weights.select("request_id", "term", "weight"), ["request_id", "term"])
         .groupBy("request_id", "pos")
         .agg(F.sum("weight").alias("score"))
     )
-    limits = requests.select("request_id", "max_length", "style")
-    ranked = (
-        sentences.join(scores, ["request_id", "pos"], "left")
-        .join(limits, "request_id")
-        .withColumn("score", F.coalesce(F.col("score"), F.lit(0)))
-        .withColumn("n_words", word_count(F.col("sentence")))
+    ranked = sentences.join(scores, ["request_id", "pos"], "left").select(
+        "request_id", "pos", "sentence", "max_length", "style",
+        F.coalesce(F.col("score"), F.lit(0)).alias("score"), word_count(F.col("sentence")).alias("n_words"),
     )
     by_rank = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("pos"))
     running = F.sum("n_words").over(by_rank.rowsBetween(Window.unboundedPreceding, Window.currentRow))

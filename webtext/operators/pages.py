@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import byte_length, byte_prefix, clean_lines
+from ..sources.tables import spread_scan
 
 PAGE_FIELDS = T.StructType(
     [
@@ -73,33 +74,21 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Parsing is CPU-bound per page: make sure every core gets pages even when
-    a small table arrives as one scan split. Large scans already have at least
-    ``defaultParallelism`` splits and are left alone (no shuffle). Only call
-    this on a scan (+ filter/project): counting the partitions of a plan with
-    a shuffle would run that shuffle."""
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def extract_pages(
     pages: DataFrame,
     keep: list[str] | None = None,
     selector: str | Column | None = None,
-    spread: bool = True,
+    spread: bool = False,
 ) -> DataFrame:
     """Parse every page once and return the page record.
 
     ``pages`` needs ``url`` and ``html`` (``content_type`` / ``status_code``
     optional); ``keep`` lists key columns to carry through. ``selector`` is a
     CSS selector for all rows, a column holding one per row, or None for the
-    default main-content strategy. ``spread`` (for scan inputs) spreads a
-    scan with fewer splits than cores; pass False when ``pages`` comes out of
-    a shuffle (join / aggregate), whose partitions are already spread.
+    default main-content strategy. Parsing is CPU-bound per page: the table
+    loaders already spread a scan with fewer splits than cores; ``spread=True``
+    does the same here for a raw scan built elsewhere (never for a plan with
+    a shuffle, whose partitions are spread already).
     """
     keep = [c for c in (keep or []) if c not in ("url", "html")]
     cols = [F.col(c) for c in keep] + [F.col("url"), F.col("html")]
@@ -114,7 +103,7 @@ def extract_pages(
         cols.append(sel.cast("string").alias("_selector"))
     src = pages.select(*cols)
     if spread:
-        src = _spread(src)
+        src = spread_scan(src)
     out_schema = T.StructType(
         [f for f in src.schema.fields if f.name != "html"] + list(PAGE_FIELDS.fields)
     )
@@ -173,7 +162,7 @@ def scrape_urls(
     wanted = requests.select("url", sel.alias("selector")).distinct()
     snap = pages.select("url", "html", "status_code", "content_type")
     hits = snap.join(wanted, "url", "inner")
-    recs = extract_pages(hits, keep=["selector"], selector=F.nullif(F.col("selector"), F.lit("")), spread=False)
+    recs = extract_pages(hits, keep=["selector"], selector=F.nullif(F.col("selector"), F.lit("")))
     recs = recs.withColumn("_found", F.lit(True))
     req = requests.withColumn("_sel", sel)
     joined = req.join(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_length, split_trimmed, validate_content, ws_trim
+from ..functions.text import byte_length, split_trimmed, validate_content, word_count, ws_trim
 
 # Prompt and system texts of the summariser.
 SUMMARY_SYSTEM = "You are a helpful assistant that creates clear, accurate summaries of text content."
@@ -110,12 +110,24 @@ def summary_response(requests: DataFrame, completions: DataFrame) -> DataFrame:
         "total_tokens",
         F.col("error").alias("_err"),
     )
-    j = r.join(c, "request_id", "left")
+    return _respond(r.join(c, "request_id", "left"), r.columns)
+
+
+def respond_inline(completed: DataFrame) -> DataFrame:
+    """S5 for rows that already carry their completion columns (``text, model,
+    prompt_tokens, completion_tokens, total_tokens, error``), e.g. from a
+    column-expression completer: no join."""
+    r = completed.withColumnsRenamed({"text": "_text", "model": "_model", "error": "_err"})
+    keep = [c for c in completed.columns if c not in ("text", "model", "error", "prompt_tokens", "completion_tokens", "total_tokens")]
+    return _respond(r, keep)
+
+
+def _respond(j: DataFrame, keep: list[str]) -> DataFrame:
     err = F.coalesce(F.col("_err"), F.lit("no completion"))
     ok = F.col("_text").isNotNull() & F.col("_err").isNull()
     summary = ws_trim(F.col("_text"))
     return j.select(
-        *[x for x in r.columns if x not in ("content",)],
+        *[x for x in keep if x not in ("content",)],
         F.when(ok, summary).alias("summary"),
         F.when(ok, byte_length("content")).alias("original_size"),
         F.when(ok, byte_length(summary)).alias("summary_size"),
@@ -166,4 +178,5 @@ def summary_with_keywords(summaries: DataFrame, keyword_completions: DataFrame)
 
 def validate_requests(requests: DataFrame) -> DataFrame:
     """The content gate as a column (NULL = passes)."""
-    return requests.withColumn("validation_error", validate_content(F.col("content")))
+    counted = requests.withColumn("n_words", word_count(F.col("content")))
+    return counted.withColumn("validation_error", validate_content(F.col("content"), F.col("n_words")))

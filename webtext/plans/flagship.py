@@ -1,29 +1,23 @@
 """Flagship plan: pages -> main text -> content gate -> summary request -> summary.
 
-Narrow up to the completer (scan, Python extraction, Catalyst expressions);
-the lead completer is a column expression too, so the whole plan has no
-shuffle besides the round-robin spread of a small scan.
+Single pass and narrow: scan, the Python extraction, then column expressions
+only (gate, prompt, the lead completer and the response are all computed on
+the same row), so the extraction runs once and nothing shuffles besides the
+round-robin spread of a scan with fewer splits than cores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import validate_content
-from ..operators.completers import complete, lead_completer
+from ..functions.text import validate_content, word_count
+from ..operators.completers import lead_columns
 from ..operators.pages import extract_pages
-from ..operators.summarize import summary_prompt, summary_response
+from ..operators.summarize import respond_inline, summary_prompt
 
 
-def summarize_pages(
-    pages: DataFrame,
-    completer: Callable[[DataFrame], DataFrame] = lead_completer,
-    max_length: int = 50,
-    style: str = "concise",
-) -> DataFrame:
+def summarize_pages(pages: DataFrame, max_length: int = 50, style: str = "concise") -> DataFrame:
     recs = extract_pages(pages, keep=["page_id"])
     req = recs.select(
         F.col("page_id").alias("request_id"),
@@ -33,16 +27,12 @@ def summarize_pages(
         F.lit(max_length).alias("max_length"),
         F.lit(style).alias("style"),
         F.lit("").alias("language"),
-    ).withColumn("validation_error", validate_content(F.col("content")))
-    ok = summary_prompt(req.filter(F.col("validation_error").isNull()))
-    resp = summary_response(ok, complete(ok, completer))
-    rejected = req.filter(F.col("validation_error").isNotNull())
-    out = resp.join(ok.select("request_id", "url", "title", "prompt"), "request_id")
-    cols = ["request_id", "url", "title", "summary", "original_size", "summary_size", "model", "tokens_used", "error"]
-    rej = rejected.select(
+    ).withColumn("n_words", word_count(F.col("content")))
+    req = req.withColumn("validation_error", validate_content(F.col("content"), F.col("n_words"))).drop("n_words")
+    resp = respond_inline(lead_columns(summary_prompt(req)))
+    gated = F.col("validation_error").isNull()
+    return resp.select(
         "request_id", "url", "title",
-        F.lit(None).cast("string").alias("summary"), F.lit(None).cast("long").alias("original_size"),
-        F.lit(None).cast("long").alias("summary_size"), F.lit(None).cast("string").alias("model"),
-        F.lit(None).cast("long").alias("tokens_used"), F.col("validation_error").alias("error"),
+        *[F.when(gated, F.col(c)).alias(c) for c in ("summary", "original_size", "summary_size", "model", "tokens_used")],
+        F.coalesce(F.col("validation_error"), F.col("error")).alias("error"),
     )
-    return out.select(*cols).unionByName(rej)

@@ -220,8 +220,8 @@ def summary_with_keywords(spark, sf):
 
 
 def validate_content_q(spark, sf):
-    d = load_documents(spark, sf)
-    return d.select("doc_id", word_count(F.col("text")).alias("n_words"), validate_content(F.col("text")).alias("error"))
+    d = load_documents(spark, sf).select("doc_id", "text", word_count(F.col("text")).alias("n_words"))
+    return d.select("doc_id", "n_words", validate_content(F.col("text"), F.col("n_words")).alias("error"))
 
 
 def lead_summary(spark, sf):

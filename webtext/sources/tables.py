@@ -15,8 +15,24 @@ TABLES = (
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_scan(df) if spread else df
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that arrives in fewer splits than cores.
+
+    The work on these tables is CPU-heavy per row (HTML parsing, regex over
+    whole texts), so a small table stored as one row group would otherwise run
+    in one task up to the first shuffle. A large scan already has at least
+    ``defaultParallelism`` splits and is returned unchanged (no shuffle).
+    Counting the partitions of a plain scan plans it without running it.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

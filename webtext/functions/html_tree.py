@@ -294,14 +294,14 @@ def parse_html(markup: str) -> Document:
 # -- selectors -----------------------------------------------------------
 
 _TOKEN = re.compile(
-    r"""\s*(?:
+    r"""(?:
         (?P<comb>>)|
         (?P<tag>\*|[A-Za-z][A-Za-z0-9_-]*)|
         \.(?P<cls>-?[A-Za-z_][A-Za-z0-9_-]*)|
         \#(?P<id>-?[A-Za-z0-9_][A-Za-z0-9_-]*)|
         \[\s*(?P<attr>[A-Za-z_:][A-Za-z0-9_:.-]*)\s*
             (?:(?P<op>[~^$*|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[A-Za-z0-9_-]+))\s*)?\]|
-        (?P<ws>\s)
+        (?P<ws>\s+)
     )""",
     re.X,
 )

@@ -159,7 +159,13 @@ def scrape_urls(
     and join the record back to every request row (left join: an unknown URL
     keeps its row with NULL fields). Adds ``fetch_error`` (NULL on success)."""
     sel = F.coalesce(F.col(selector_col), F.lit("")) if selector_col else F.lit("")
-    wanted = requests.select("url", sel.alias("selector")).distinct()
+    # An explicit partition count: the join output feeds CPU-bound parsing, so
+    # adaptive execution must not coalesce it into a few tasks by byte size.
+    # When the wanted set is small, adaptive execution broadcasts it and the
+    # snapshot is only scanned (no snapshot shuffle); otherwise the snapshot
+    # is hash-partitioned by url to match.
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = requests.select("url", sel.alias("selector")).distinct().repartition(n, "url")
     snap = pages.select("url", "html", "status_code", "content_type")
     hits = snap.join(wanted, "url", "inner")
     recs = extract_pages(hits, keep=["selector"], selector=F.nullif(F.col("selector"), F.lit("")))

@@ -50,10 +50,16 @@ def default_registry() -> ToolRegistry:
     )
 
 
-def decide(requests: DataFrame, decisions: DataFrame) -> DataFrame:
-    """A4-A6 on ``decisions(request_id, decision_text)`` joined to the requests."""
+def decide(requests: DataFrame, decisions: DataFrame, materialize: bool = False) -> DataFrame:
+    """A4-A6 on ``decisions(request_id, decision_text)`` joined to the requests.
+
+    With ``materialize`` the decoded decisions (one row per request) are cut
+    from their lineage into the shared checkpoint folder: the answer plan
+    reads them in several branches, and the decoder is a Python step that
+    would otherwise run once per branch."""
     d = requests.join(decisions, "request_id", "left")
-    return route_decision(low_confidence(parse_decision(d)))
+    out = route_decision(low_confidence(parse_decision(d)))
+    return out.checkpoint() if materialize else out
 
 
 def call_outcomes(decided: DataFrame, registry: ToolRegistry, ctx: dict) -> DataFrame:
@@ -84,7 +90,7 @@ def answer_requests(
 ) -> DataFrame:
     """One row per request (``request_id, user_text``) with its route, call
     counts, aggregated tool output and post-processed final output."""
-    decided = decide(requests, decisions)
+    decided = decide(requests, decisions, materialize=True)
     outcomes = call_outcomes(decided, registry, ctx)
     per_req = outcomes.groupBy("request_id").agg(
         F.count(F.when(F.col("status") == "rejected", 1)).alias("n_rejected"),

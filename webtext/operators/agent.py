@@ -165,9 +165,6 @@ class ToolRegistry:
 def tool_listing(catalog: DataFrame) -> DataFrame:
     """A2 listing text: ``Tools (N)`` then per tool name, description and schema."""
 
-    def indent_schema(js: Column) -> Column:
-        return js
-
     per = catalog.select(
         "tool_pos",
         F.concat(

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count, words, ws_trim
+from ..session import reliable_checkpoint
 
 COMPLETION_COLS = [
     "request_id", "text", "model", "prompt_tokens", "completion_tokens",
@@ -247,7 +248,7 @@ def extractive_summaries(requests: DataFrame, corpus: DataFrame | None = None) -
     the partitioning, so the per-request window and assembly do not shuffle.
     """
     docs = requests.select("request_id", "content", "max_length", "style")
-    sentences = sentence_table(docs, keep=("max_length", "style")).repartition("request_id").checkpoint()
+    sentences = reliable_checkpoint(sentence_table(docs, keep=("max_length", "style")).repartition("request_id"))
     weights = _weights(_term_counts(sentences), corpus)
     scores = (
         _occurrences(sentences, "pos")

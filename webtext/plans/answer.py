@@ -28,6 +28,7 @@ from ..operators.agent import (
     validate_calls,
 )
 from ..operators.pages import scrape_urls, tool_response
+from ..session import reliable_checkpoint
 
 # The page tool as registered by the tool server.
 SCRAPE_URL_DESCRIPTION = "Scrape content from a single URL and extract text, title, and metadata"
@@ -59,7 +60,7 @@ def decide(requests: DataFrame, decisions: DataFrame, materialize: bool = False)
     would otherwise run once per branch."""
     d = requests.join(decisions, "request_id", "left")
     out = route_decision(low_confidence(parse_decision(d)))
-    return out.checkpoint() if materialize else out
+    return reliable_checkpoint(out) if materialize else out
 
 
 def call_outcomes(decided: DataFrame, registry: ToolRegistry, ctx: dict) -> DataFrame:

@@ -55,6 +55,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the session's checkpoint folder (set first when unset).
+
+    Used where a plan reads one expensive intermediate in several branches:
+    the data is written once to the shared folder, lineage is cut, and a lost
+    executor does not force recomputing it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint dir for written intermediate tables and stream state."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

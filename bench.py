@@ -2,7 +2,9 @@
 
 Prints one JSON line: {"metric", "value", "unit", "queries": {name: sec}, "sf"}.
 Each query runs to completion through the ``noop`` sink (no collect); the
-first pass over a tiny input warms the JVM and Python workers.
+first pass over a tiny input warms the JVM and Python workers. Each query
+runs ``$BENCH_REPEAT`` times (default 2) and its best time is reported, since
+run-to-run noise on a shared machine is large.
 """
 
 from __future__ import annotations
@@ -56,11 +58,16 @@ def main() -> None:
         for fn in (Q.page_record, Q.parse_decision, Q.top_keywords):
             fn(spark, warm).write.format("noop").mode("overwrite").save()
 
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
     times = {}
     for name, fn in HEADLINE.items():
-        t0 = time.perf_counter()
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        best = None
+        for _ in range(repeat):
+            t0 = time.perf_counter()
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            took = time.perf_counter() - t0
+            best = took if best is None else min(best, took)
+        times[name] = round(best, 3)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_total_sec", "value": total, "unit": "sec", "queries": times, "sf": sf}))
     spark.stop()

@@ -230,10 +230,16 @@ def _weights(tf: DataFrame, corpus: DataFrame | None) -> DataFrame:
     )
 
 
-def term_weights(requests: DataFrame, corpus: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Sentences and per-(request, term) integer weights ``tf * 1e6 div df``."""
-    sentences = sentence_table(requests.select("request_id", "content"))
-    return sentences, _weights(_term_counts(sentences), corpus)
+def term_weights(requests: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """Per-(request, term) integer weights ``tf * 1e6 div df``.
+
+    Terms are letter/digit runs, which never cross a sentence terminator, and
+    every other character belongs to some sentence, so tokenizing whole texts
+    gives exactly the terms of the sentences without splitting them first."""
+    docs = requests.select(
+        "request_id", F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_RE), 0).alias("terms")
+    )
+    return _weights(_term_counts(docs), corpus)
 
 
 def extractive_summaries(requests: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
@@ -290,7 +296,7 @@ def top_keywords(requests: DataFrame, corpus: DataFrame | None = None, k: int =
     ``row_number() <= k`` over a window lets Spark apply the per-group limit
     before the shuffle (window group limit), so each request ships at most k
     rows per partition."""
-    _, weights = term_weights(requests, corpus)
+    weights = term_weights(requests, corpus)
     w = Window.partitionBy("request_id").orderBy(F.col("weight").desc(), F.col("term"))
     return weights.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

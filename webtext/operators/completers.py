@@ -201,7 +201,7 @@ def _term_counts(sentences: DataFrame) -> DataFrame:
     )
 
 
-def _weights(tf: DataFrame, corpus: DataFrame | None) -> DataFrame:
+def _weights(tf: DataFrame, corpus: DataFrame | None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Join ``df`` to the term counts. ``df`` is counted from ``tf`` itself, so
     both consumers share one exchange and the texts are tokenized once. It is the only term-keyed shuffle and combines map-side,
     so a term found in most documents ships one partial count per partition.
@@ -226,7 +226,7 @@ def _weights(tf: DataFrame, corpus: DataFrame | None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("df"))
         )
     return tf.join(dfreq, "term").select(
-        "request_id", "term", "tf", "df", F.expr(f"(tf * {WEIGHT_SCALE}) div df").alias("weight")
+        "request_id", "term", "tf", "df", F.expr(f"(tf * {WEIGHT_SCALE}) div df").alias("weight"), *extra
     )
 
 
@@ -247,18 +247,24 @@ def extractive_summaries(requests: DataFrame, corpus: DataFrame | None = None) -
     first) taken while the words before them are under ``max_length``, output
     in document order; ``bullet_points`` gives one ``- `` line per sentence.
 
-    The texts are tokenized once into a sentence table hash-partitioned by
-    request and cut from its lineage into the shared checkpoint folder: its
-    consumers (term counts, sentence scores, ranking) read different columns,
-    so without it every consumer would tokenize again. The checkpoint keeps
-    the partitioning, so the per-request window and assembly do not shuffle.
+    The texts are tokenized once into a sentence table and cut from its
+    lineage into the shared checkpoint folder: its consumers (term counts,
+    sentence scores, ranking) read different columns, so without it every
+    consumer would tokenize again. Every group downstream (a request's
+    sentences, a request-term's positions) is bounded by one text.
     """
     docs = requests.select("request_id", "content", "max_length", "style")
     sentences = reliable_checkpoint(sentence_table(docs, keep=("max_length", "style")).repartition("request_id"))
-    weights = _weights(_term_counts(sentences), corpus)
+    # One aggregate per (request, term) gives both the term count and the
+    # sentence positions holding the term, so the weight is joined once per
+    # (request, term) and spread back to its sentences -- no join of every
+    # term occurrence. A position list is bounded by one text.
+    per_term = _occurrences(sentences, "pos").groupBy("request_id", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.collect_list("pos").alias("positions")
+    )
+    weights = _weights(per_term, corpus, extra=("positions",))
     scores = (
-        _occurrences(sentences, "pos")
-        .join(weights.select("request_id", "term", "weight"), ["request_id", "term"])
+        weights.select("request_id", "weight", F.explode("positions").alias("pos"))
         .groupBy("request_id", "pos")
         .agg(F.sum("weight").alias("score"))
     )

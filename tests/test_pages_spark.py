@@ -64,3 +64,17 @@ def test_selector_column(spark):
     df = pages_df(spark, [(1, "u", "<h1> A </h1><p>b</p>", None, None)]).withColumn("sel", F.lit("h1"))
     r = extract_pages(df, keep=["page_id"], selector=F.col("sel")).first()
     assert r.content == "A" and r.clean_text == "A"
+
+
+def test_stored_status_and_content_type(spark):
+    pages = pages_df(spark, [
+        (1, "ok", f"<article>{LONG}</article>", 200, "text/html; charset=utf-8"),
+        (2, "gone", f"<article>{LONG}</article>", 404, "text/html"),
+        (3, "pdf", "%PDF-1.4", 200, "application/pdf"),
+    ])
+    batches = spark.createDataFrame([(1, ["ok", "gone", "pdf"])], "batch_id long, urls array<string>")
+    rows, _ = extract_batch(batches, pages)
+    r = {x.url: x for x in rows.collect()}
+    assert r["ok"].error is None and r["ok"].clean_text == LONG and r["ok"].content_type.startswith("text/html")
+    assert r["gone"].error == "failed to scrape gone: failed to scrape URL gone: HTTP 404"
+    assert r["pdf"].error is None and r["pdf"].clean_text == "" and r["pdf"].links == []

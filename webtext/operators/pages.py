@@ -129,6 +129,11 @@ def extract_pages(
     )
 
 
+def _shuffle_partitions(spark) -> int:
+    value = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(value) if str(value).isdigit() else spark.sparkContext.defaultParallelism
+
+
 def page_stats(records: DataFrame) -> DataFrame:
     """Per page, link / image counts and clean-text bytes."""
     return records.select(
@@ -164,7 +169,7 @@ def scrape_urls(
     # When the wanted set is small, adaptive execution broadcasts it and the
     # snapshot is only scanned (no snapshot shuffle); otherwise the snapshot
     # is hash-partitioned by url to match.
-    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = _shuffle_partitions(requests.sparkSession)
     wanted = requests.select("url", sel.alias("selector")).distinct().repartition(n, "url")
     snap = pages.select("url", "html", "status_code", "content_type")
     hits = snap.join(wanted, "url", "inner")
@@ -188,7 +193,10 @@ def extract_batch(batches: DataFrame, pages: DataFrame, selector: str | None = N
 
     Rows keep input position ``idx`` and duplicates; a failed URL has NULL page
     fields and ``error``. The batch row carries ``scraping errors: [...]`` in
-    input order when any URL failed, else NULL.
+    input order when any URL failed, else NULL. That string is one value per
+    batch by definition; it collects only the batch's failures, so it is never
+    larger than a small multiple of the batch's own ``urls`` value, which
+    already sits in one input row.
     """
     items = batches.select("batch_id", F.posexplode("urls").alias("idx", "url"))
     if selector is not None:

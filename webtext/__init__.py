@@ -1,0 +1,35 @@
+"""webtext: page extraction, summarisation requests and tool-call answering as Spark jobs.
+
+Main entry points (all DataFrame -> DataFrame):
+
+* pages: :func:`extract_pages`, :func:`extract_batch`, :func:`scrape_urls`, :func:`tool_response`
+* text: :func:`clean_lines`, :func:`validate_content`, :func:`ws_trim`, :func:`byte_prefix`
+* summaries: :func:`summary_prompt`, :func:`summary_response`, :func:`complete` with
+  :func:`replay_completer`, :func:`batch_completer`, :func:`lead_completer`,
+  :func:`extractive_completer`, :func:`keyword_completer`
+* agent: :class:`ToolRegistry`, :class:`Tool`, :func:`answer_requests`, :func:`session_turns`
+* session: :func:`build_session`
+"""
+
+from .functions.text import byte_prefix, clean_lines, validate_content, word_count, ws_trim
+from .operators.agent import Tool, ToolRegistry, session_turns
+from .operators.completers import (
+    batch_completer,
+    complete,
+    extractive_completer,
+    keyword_completer,
+    lead_completer,
+    replay_completer,
+)
+from .operators.pages import extract_batch, extract_pages, scrape_urls, tool_response, tool_response_full
+from .operators.summarize import summary_prompt, summary_response, summary_with_keywords
+from .plans.answer import answer_requests, default_registry
+from .session import build_session
+
+__all__ = [
+    "Tool", "ToolRegistry", "answer_requests", "batch_completer", "build_session", "byte_prefix",
+    "clean_lines", "complete", "default_registry", "extract_batch", "extract_pages", "extractive_completer",
+    "keyword_completer", "lead_completer", "replay_completer", "scrape_urls", "session_turns",
+    "summary_prompt", "summary_response", "summary_with_keywords", "tool_response", "tool_response_full",
+    "validate_content", "word_count", "ws_trim",
+]

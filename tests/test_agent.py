@@ -166,3 +166,9 @@ def test_aggregate_outputs(spark):
     rows = [(1, 1, " a "), (1, 2, "  "), (1, 3, "b"), (2, 1, "x")]
     out = {r.request_id: r.content for r in A.aggregate_outputs(spark.createDataFrame(rows, "request_id long, call_idx int, result string")).collect()}
     assert out == {1: "a \n\nb", 2: "x"}
+
+
+def test_catalog_json_escapes():
+    reg = A.ToolRegistry().register(A.Tool("t", "a<b>&c ", {"x": ("string", "")}, []))
+    text = reg.catalog_json()
+    assert "a\\u003cb\\u003e\\u0026c\\u2028" in text and json.loads(text)[0]["description"] == "a<b>&c "

@@ -130,7 +130,11 @@ class ToolRegistry:
         items = [
             {"name": t.name, "description": t.description, "parameters": t.schema_dict()} for t in self.tools
         ]
-        return json.dumps(items, indent=2, ensure_ascii=False).replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
+        text = json.dumps(items, indent=2, ensure_ascii=False)
+        # the original encoder also escapes these characters inside strings
+        for ch, esc in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+            text = text.replace(ch, esc)
+        return text
 
     def catalog(self, spark: SparkSession) -> DataFrame:
         """A2: one row per tool (first definition of a name wins). The registry is

@@ -92,3 +92,10 @@ def test_resolve():
     assert resolve("https://e.org/a", "mailto:x@y") == "mailto:x@y"
     assert resolve("https://e.org/a", "/p q") == "https://e.org/p%20q"
     assert resolve("https://e.org/a", "?x=1#f") == "https://e.org/a?x=1"
+
+
+def test_attribute_entities_follow_the_attribute_rule():
+    html = '<a href="/x?a=1&region=us&copy=2&amp;b=3&not">x</a><img src="/i?w=1&amp;h=2">'
+    r = extract(B, html, None)
+    assert r["links"] == ["https://e.org/x?a=1&region=us&copy=2&b=3%C2%AC"]
+    assert r["images"] == ["https://e.org/i?w=1&h=2"]

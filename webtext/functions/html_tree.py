@@ -19,8 +19,14 @@ from __future__ import annotations
 
 import html as _html
 import re
+from html.entities import html5 as _ENTITIES
 from html.parser import HTMLParser
 
+try:  # the standard parser's own attribute / tag-name patterns
+    from html.parser import attrfind_tolerant as _ATTR, tagfind_tolerant as _TAGNAME
+except ImportError:  # pragma: no cover - other Python versions
+    _ATTR = _TAGNAME = None
+
 # HTML element classes from the HTML5 parsing rules.
 VOID = frozenset(
     "area base basefont bgsound br col embed frame hr image img input keygen link "
@@ -37,6 +43,50 @@ CLOSES_P = frozenset(
 SCOPE_FENCE = frozenset("applet caption html table td th marquee object template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ASCII_WS = " \t\n\f\r"
+_URL_ATTR_TAGS = frozenset("a img base".split())
+_CHARREF = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+def attr_unescape(value: str) -> str:
+    """Character references in an attribute value, HTML5 style: a legacy
+    entity without ``;`` stays literal when ``=`` or an ASCII letter/digit
+    follows it (``?a=1&region=us`` keeps ``&region``)."""
+
+    def repl(m: re.Match) -> str:
+        ref = m.group(1)
+        if ref.startswith("#") or ref.endswith(";"):
+            return _html.unescape(m.group(0))
+        for n in range(len(ref), 1, -1):
+            name = ref[:n]
+            if name in _ENTITIES:  # names without ';' are the legacy ones
+                nxt = ref[n : n + 1]
+                if nxt and (nxt == "=" or (nxt.isascii() and nxt.isalnum())):
+                    return m.group(0)
+                return _ENTITIES[name] + ref[n:]
+        return m.group(0)
+
+    return _CHARREF.sub(repl, value)
+
+
+def _raw_attrs(start_tag: str) -> dict:
+    """Attributes re-read from the raw start tag with :func:`attr_unescape`."""
+    out: dict = {}
+    m = _TAGNAME.match(start_tag, 1)
+    k = m.end()
+    while k < len(start_tag):
+        m = _ATTR.match(start_tag, k)
+        if not m or m.end() == k:
+            break
+        name, rest, value = m.group(1, 2, 3)
+        if not rest:
+            value = ""
+        elif value[:1] == "'" == value[-1:] or value[:1] == '"' == value[-1:]:
+            value = value[1:-1]
+        name = name.lower()
+        if name not in out:
+            out[name] = attr_unescape(value) if value else ""
+        k = m.end()
+    return out
 
 
 class Element:
@@ -165,6 +215,9 @@ class _Builder(HTMLParser):
         for k, v in attrs:
             if k not in a:
                 a[k] = "" if v is None else v
+        raw = self.get_starttag_text()
+        if tag in _URL_ATTR_TAGS and _ATTR is not None and raw and "&" in raw:
+            a = _raw_attrs(raw)
         if tag == "image":
             tag = "img"
         if tag == "html":

@@ -17,9 +17,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
-from webtext.operators import completers as C  # noqa: E402
 from webtext.operators import summarize as S  # noqa: E402
 from webtext.plans import queries as Q  # noqa: E402
 from webtext.plans.flagship import summarize_pages  # noqa: E402

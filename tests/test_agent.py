@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from webtext.functions.decision import FALLBACK, decode_decision
 from webtext.operators import agent as A

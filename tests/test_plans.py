@@ -2,7 +2,6 @@
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF001

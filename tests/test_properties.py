@@ -2,7 +2,6 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from webtext.functions.text import WS_CHARS, byte_prefix, clean_lines, py_trim, word_count
 

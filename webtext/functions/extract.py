@@ -7,7 +7,7 @@ computed here: it is a Catalyst expression applied after the Python step.
 
 from __future__ import annotations
 
-from .html_tree import Document, Selector, UnsupportedSelector, parse_html
+from .html_tree import Selector, UnsupportedSelector, parse_html
 from .text import py_trim
 from .urls import resolve
 

@@ -54,6 +54,7 @@ def test_streams_equal_batch(spark):
     q = E.queries()
     assert rows(q["stream_sessions"](spark, SF001)) == rows(q["session_turns"](spark, SF001))
     assert rows(q["stream_extract"](spark, SF001)) == rows(q["page_record"](spark, SF001))
+    assert rows(q["stream_answer"](spark, SF001)) == rows(q["answer_requests"](spark, SF001))
 
 
 def test_stream_sessions_late_turns(spark, tmp_path):

@@ -343,11 +343,13 @@ def run_calls(valid_calls: DataFrame, registry: ToolRegistry, ctx: dict) -> Data
         if tool is None or tool.handler is None:
             continue
         mine = valid_calls.filter(F.col("name") == name)
-        res = tool.handler(mine, ctx).select("request_id", "call_idx", "parts", "is_error")
+        res = tool.handler(mine, ctx).select("request_id", "call_idx", F.lit(name).alias("name"), "parts", "is_error")
         outs.append(res)
     if not outs:
         spark = valid_calls.sparkSession
-        return spark.createDataFrame([], "request_id long, call_idx int, parts array<string>, is_error boolean, result string")
+        return spark.createDataFrame(
+            [], "request_id long, call_idx int, name string, parts array<string>, is_error boolean, result string"
+        )
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)

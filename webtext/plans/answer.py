@@ -71,8 +71,7 @@ def call_outcomes(decided: DataFrame, registry: ToolRegistry, ctx: dict) -> Data
         F.col("validation_error").alias("detail"), F.lit(None).cast("string").alias("result"),
     )
     valid = calls.filter(F.col("validation_error").isNull())
-    ran = run_calls(valid, registry, ctx).join(valid.select("request_id", "call_idx", "name"), ["request_id", "call_idx"])
-    executed = ran.select(
+    executed = run_calls(valid, registry, ctx).select(
         "request_id", "call_idx", "name",
         F.when(F.col("is_error"), F.lit("failed")).otherwise(F.lit("succeeded")).alias("status"),
         F.lit(None).cast("string").alias("detail"), "result",

@@ -99,3 +99,21 @@ def test_attribute_entities_follow_the_attribute_rule():
     r = extract(B, html, None)
     assert r["links"] == ["https://e.org/x?a=1&region=us&copy=2&b=3%C2%AC"]
     assert r["images"] == ["https://e.org/i?w=1&h=2"]
+
+
+def test_resolve_fast_path_equals_general_path():
+    import re
+
+    import webtext.functions.urls as U
+
+    cases = [("https://E.org:443/a/b?x#y", "/p q?r s"), ("https://e.org/a", "/für,?ä=1"), ("http://e.org:8080/x", "/y%zz%41"),
+             ("https://e.org/", "/a'b\"c<d>`{}"), ("https://e.org/", "/a?b'c"), ("https://e.org/", "/"), ("https://e.org/", "/q?")]
+    fast = [U.resolve(b, r) for b, r in cases]
+    saved = U._PLAIN_ROOT
+    U._PLAIN_ROOT = re.compile(r"(?!)")
+    try:
+        slow = [U.resolve(b, r) for b, r in cases]
+    finally:
+        U._PLAIN_ROOT = saved
+    assert fast == slow
+    assert fast[-1] == "https://e.org/q?"

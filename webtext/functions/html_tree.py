@@ -90,9 +90,10 @@ def _raw_attrs(start_tag: str) -> dict:
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "t0", "t1", "classes")
+    __slots__ = ("tag", "attrs", "parent", "t0", "t1", "classes", "idx")
 
-    def __init__(self, tag: str, attrs: dict, parent: "Element | None", t0: int):
+    def __init__(self, tag: str, attrs: dict, parent: "Element | None", t0: int, idx: int = 0):
+        self.idx = idx
         self.tag = tag
         self.attrs = attrs
         self.parent = parent
@@ -107,13 +108,45 @@ class Document:
     def __init__(self, elements: list[Element], texts: list[str]):
         self.elements = elements
         self.texts = texts
+        self._by_tag: dict | None = None
+
+    def _index(self) -> None:
+        by_tag: dict = {}
+        by_class: dict = {}
+        by_id: dict = {}
+        for el in self.elements:
+            by_tag.setdefault(el.tag, []).append(el)
+            for c in el.classes:
+                by_class.setdefault(c, []).append(el)
+            if "id" in el.attrs:
+                by_id.setdefault(el.attrs["id"], []).append(el)
+        self._by_tag, self._by_class, self._by_id = by_tag, by_class, by_id
+
+    def _candidates(self, selector: "Selector") -> list[Element]:
+        """Elements that can match the rightmost compound of some group, in document order."""
+        if self._by_tag is None:
+            self._index()
+        out: dict = {}
+        for chain in selector.groups:
+            comp = chain[-1][1]
+            if comp.id is not None:
+                found = self._by_id.get(comp.id, [])
+            elif comp.classes:
+                found = self._by_class.get(comp.classes[0], [])
+            elif comp.tag is not None and comp.tag != "*":
+                found = self._by_tag.get(comp.tag, [])
+            else:
+                return self.elements
+            for el in found:
+                out[el.idx] = el
+        return [out[i] for i in sorted(out)]
 
     def text(self, el: Element) -> str:
         return "".join(self.texts[el.t0 : el.t1])
 
     def select(self, selector: "Selector", within: Element | None = None) -> list[Element]:
         out = []
-        for el in self.elements:
+        for el in self._candidates(selector):
             if within is not None and not _is_descendant(el, within):
                 continue
             if el.tag == "html" and within is None:
@@ -165,7 +198,7 @@ class _Builder(HTMLParser):
     # -- tree helpers -------------------------------------------------
     def _open(self, tag: str, attrs: dict) -> Element:
         parent = self.stack[-1] if self.stack else None
-        el = Element(tag, attrs, parent, len(self.texts))
+        el = Element(tag, attrs, parent, len(self.texts), len(self.elements))
         self.elements.append(el)
         self.stack.append(el)
         return el

@@ -9,6 +9,7 @@ percent-encoded, fragment dropped. A fragment-only reference resolves to ``""``.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from urllib.parse import SplitResult, urljoin, urlsplit, urlunsplit
 
 SPECIAL = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21, "file": None}
@@ -59,10 +60,33 @@ def _host(netloc: str, scheme: str) -> str | None:
     return out + (":" + port if port else "")
 
 
+_PLAIN_ROOT = re.compile(r"/(?!/)[^\\#\x00-\x20]*")
+
+
+@lru_cache(maxsize=4096)
+def _origin(base: str) -> str | None:
+    """``scheme://host[:port]`` of a special-scheme base URL, as serialised."""
+    try:
+        parts = urlsplit(base)
+    except ValueError:
+        return None
+    scheme = parts.scheme.lower()
+    if scheme not in SPECIAL or scheme == "file":
+        return None
+    host = _host(parts.netloc, scheme)
+    return f"{scheme}://{host}" if host else None
+
+
 def resolve(base: str, ref: str) -> str:
     """Absolute form of ``ref`` relative to ``base``; ``""`` when it cannot be made."""
     if ref.startswith("#"):
         return ""
+    if _PLAIN_ROOT.fullmatch(ref) and "/." not in ref:
+        # fast path: root-relative, no dot segments, fragment or white space
+        origin = _origin(base)
+        if origin is not None:
+            path, q, query = ref.partition("?")
+            return origin + _encode(path, _PATH_EXTRA) + (("?" + _encode(query, _QUERY_EXTRA)) if q else "")
     ref = _TABNL.sub("", ref.strip(_STRIP))
     m = _SCHEME.match(ref)
     ref_scheme = m.group(1).lower() if m else None
@@ -85,6 +109,7 @@ def resolve(base: str, ref: str) -> str:
     path = _encode(parts.path or "/", _PATH_EXTRA)
     query = _encode(parts.query, _QUERY_EXTRA)
     url = urlunsplit(SplitResult(scheme, host, path, "", ""))
-    if "?" in joined.split("#", 1)[0]:
+    # an empty query still serialises as "?" (urljoin drops it, so look at the reference too)
+    if "?" in joined.split("#", 1)[0] or "?" in ref.split("#", 1)[0]:
         url += "?" + query
     return url

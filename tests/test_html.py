@@ -117,3 +117,18 @@ def test_resolve_fast_path_equals_general_path():
         U._PLAIN_ROOT = saved
     assert fast == slow
     assert fast[-1] == "https://e.org/q?"
+
+
+def test_formatting_elements_reopen_across_blocks():
+    from webtext.functions.html_tree import Selector, parse_html
+
+    def sel(html, s):
+        d = parse_html(html)
+        return d.selection_text(d.select(Selector(s)))
+
+    page = "<article><p><b>bold<br><p>next</p></article><footer>f</footer>"
+    assert sel(page, "b") == "boldnextf"          # the unclosed <b> is reopened in each block
+    assert sel(page, "article") == "boldnext"     # containers keep their text
+    assert sel("<a href=x>1<a href=y>2</a>3", "a") == "12"
+    assert sel("<table><tr><td><b>x</td><td>y</td></tr></table>z", "b") == "x"
+    assert extract(B, H(page), None)["matched_selector"] == "body"  # article is under 100 bytes

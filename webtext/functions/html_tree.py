@@ -10,9 +10,10 @@ which element*: void elements, raw-text elements (script, style, noscript, ...),
 escapable raw text (title, textarea), implied ``</p>``, ``</li>``, ``</dd>``,
 ``</td>``, ``</option>``, end tags closing up to the matching open element,
 end tags without an open element ignored, an implied ``<body>``, CR/LF
-normalisation and entity decoding. Not modelled: table foster parenting and
-the reconstruction of formatting elements (neither moves text between the
-containers the extractor reads).
+normalisation, entity decoding, and the reopening of formatting elements left
+open across blocks (``<p><b>x<p>y`` puts ``y`` in a second ``<b>``). End tags
+of formatting elements use a simplified adoption agency (close if open).
+Not modelled: table foster parenting.
 """
 
 from __future__ import annotations
@@ -41,6 +42,14 @@ CLOSES_P = frozenset(
     "menu nav ol p plaintext pre search section summary table ul li dd dt".split()
 )
 SCOPE_FENCE = frozenset("applet caption html table td th marquee object template".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+MARKER_TAGS = frozenset("applet caption marquee object td th template".split())
+# start tags that do not reconstruct open formatting elements before they are inserted
+NO_RECONSTRUCT = CLOSES_P | frozenset(
+    "table hr form textarea plaintext caption col colgroup tbody td tfoot th thead tr "
+    "frameset head body html script style title meta link base template noscript noframes".split()
+)
+_MARKER = object()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ASCII_WS = " \t\n\f\r"
 _URL_ATTR_TAGS = frozenset("a img base".split())
@@ -194,6 +203,8 @@ class _Builder(HTMLParser):
         self.mode = "before_head"
         self.raw_tag: str | None = None
         self.drop_lf = False
+        self.open_ids: set[int] = set()
+        self.active: list = []  # active formatting elements and markers
 
     # -- tree helpers -------------------------------------------------
     def _open(self, tag: str, attrs: dict) -> Element:
@@ -201,13 +212,54 @@ class _Builder(HTMLParser):
         el = Element(tag, attrs, parent, len(self.texts), len(self.elements))
         self.elements.append(el)
         self.stack.append(el)
+        self.open_ids.add(id(el))
         return el
 
     def _pop(self) -> Element:
         el = self.stack.pop()
         el.t1 = len(self.texts)
+        self.open_ids.discard(id(el))
+        if el.tag in MARKER_TAGS:
+            self._clear_to_marker()
         return el
 
+    # -- active formatting elements (HTML5 "reconstruct" rule) --------------
+    def _clear_to_marker(self) -> None:
+        while self.active:
+            if self.active.pop() is _MARKER:
+                return
+
+    def _active_after_marker(self, tag: str):
+        for e in reversed(self.active):
+            if e is _MARKER:
+                return None
+            if e.tag == tag:
+                return e
+        return None
+
+    def _push_active(self, el: Element) -> None:
+        same = [i for i in range(len(self.active) - 1, -1, -1) if self.active[i] is not _MARKER
+                and self.active[i].tag == el.tag and self.active[i].attrs == el.attrs]
+        for i in range(len(self.active) - 1, -1, -1):
+            if self.active[i] is _MARKER:
+                same = [j for j in same if j > i]
+                break
+        if len(same) >= 3:
+            del self.active[min(same)]
+        self.active.append(el)
+
+    def _reconstruct(self) -> None:
+        """Reopen formatting elements that were closed implicitly (for example a
+        ``<b>`` left open across paragraphs), as HTML parsers do."""
+        act = self.active
+        if not act or act[-1] is _MARKER or id(act[-1]) in self.open_ids:
+            return
+        i = len(act) - 1
+        while i > 0 and act[i - 1] is not _MARKER and id(act[i - 1]) not in self.open_ids:
+            i -= 1
+        for j in range(i, len(act)):
+            act[j] = self._open(act[j].tag, dict(act[j].attrs))
+
     def _pop_until(self, el: Element) -> None:
         while self.stack:
             if self._pop() is el:
@@ -303,10 +355,16 @@ class _Builder(HTMLParser):
                 if row is not None:
                     self._pop_until(row)
         elif tag == "a":
-            prev = self._in_scope(("a",))
+            prev = self._active_after_marker("a")
             if prev is not None:
-                self._pop_until(prev)
+                self._end_formatting(prev)
+        if tag not in NO_RECONSTRUCT:
+            self._reconstruct()
         self._insert(tag, a)
+        if tag in FORMATTING:
+            self._push_active(self.stack[-1])
+        elif tag in ("applet", "marquee", "object", "template", "td", "th", "caption"):
+            self.active.append(_MARKER)
 
     def _insert(self, tag: str, a: dict) -> None:
         self._open(tag, a)
@@ -337,10 +395,22 @@ class _Builder(HTMLParser):
             return
         if self.mode != "in_body" and tag not in HEAD_ONLY:
             return
+        if tag in FORMATTING:
+            fe = self._active_after_marker(tag)
+            if fe is not None:
+                self._end_formatting(fe)
+                return
         target = self._in_scope((tag,))
         if target is not None and target is not self.html_el:
             self._pop_until(target)
 
+    def _end_formatting(self, fe: Element) -> None:
+        """End tag of an active formatting element (simplified adoption agency):
+        close it if it is still open, and stop reopening it."""
+        self.active.remove(fe)
+        if id(fe) in self.open_ids:
+            self._pop_until(fe)
+
     def handle_data(self, data):
         if not data:
             return
@@ -359,6 +429,8 @@ class _Builder(HTMLParser):
             data = rest
         self._ensure_html()
         if data:
+            if self.raw_tag is None:
+                self._reconstruct()
             self.texts.append(data)
 
     def finish(self) -> Document:

@@ -62,6 +62,25 @@ def page_images(spark, sf):
     return r.select("page_id", F.size("images").cast("long").alias("n_images"), _nl("images").alias("images_text"))
 
 
+def _media_records(spark, sf) -> DataFrame:
+    return P.extract_pages(D.pages_with_media(load_pages(spark, sf)), keep=["page_id"])
+
+
+def page_metadata_derived(spark, sf):
+    r = _media_records(spark, sf)
+    return r.select("page_id", F.size("metadata").cast("long").alias("n_meta"), F.to_json("metadata").alias("metadata_json"))
+
+
+def page_images_derived(spark, sf):
+    r = _media_records(spark, sf)
+    return r.select("page_id", F.size("images").cast("long").alias("n_images"), _nl("images").alias("images_text"))
+
+
+def select_article(spark, sf):
+    r = _records(spark, sf, selector="article")
+    return r.select("page_id", "content", "clean_text")
+
+
 def select_text(spark, sf):
     r = _records(spark, sf, selector="h1")
     return r.select("page_id", "content", "clean_text")
@@ -384,6 +403,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_links": page_links,
     "page_images": page_images,
     "select_text": select_text,
+    "select_article": select_article,
+    "page_metadata_derived": page_metadata_derived,
+    "page_images_derived": page_images_derived,
     "main_content": main_content,
     "body_fallback": body_fallback,
     "clean_text": clean_text,

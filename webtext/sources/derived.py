@@ -23,6 +23,24 @@ def padded_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def pages_with_media(pages: DataFrame) -> DataFrame:
+    """Pages with meta tags and images injected (the driver pages have none):
+    after ``<meta charset="utf-8">`` a ``name="k<id % 3>"`` tag, a
+    ``property="og:t"`` tag and the same name again with another value (the
+    later one must win); after ``<article>`` a root-relative image, a relative
+    image and an image without ``src``."""
+    pid = F.col("page_id").cast("string")
+    k = (F.col("page_id") % 3).cast("string")
+    metas = F.concat(
+        F.lit('<meta charset="utf-8"><meta name="k'), k, F.lit('" content="v'), pid,
+        F.lit('"><meta property="og:t" content="p'), (F.col("page_id") % 5).cast("string"),
+        F.lit('"><meta name="k'), k, F.lit('" content="w'), pid, F.lit('">'),
+    )
+    imgs = F.concat(F.lit('<article><img src="/i/'), pid, F.lit('.png"><img src="rel.jpg"><img alt="x">'))
+    html = F.replace(F.replace(F.col("html"), F.lit('<meta charset="utf-8">'), metas), F.lit("<article>"), imgs)
+    return pages.withColumn("html", html)
+
+
 def summary_requests(docs: DataFrame) -> DataFrame:
     """One summary request per document: max_length 0/50/100/150 by ``doc_id % 4``,
     style ''/concise/detailed/bullet_points/haiku by ``doc_id % 5``, language

@@ -78,3 +78,18 @@ def test_stored_status_and_content_type(spark):
     assert r["ok"].error is None and r["ok"].clean_text == LONG and r["ok"].content_type.startswith("text/html")
     assert r["gone"].error == "failed to scrape gone: failed to scrape URL gone: HTTP 404"
     assert r["pdf"].error is None and r["pdf"].clean_text == "" and r["pdf"].links == []
+
+
+def test_spread_scan_only_spreads_small_scans(spark, tmp_path):
+    from webtext.sources.tables import spread_scan
+
+    path = str(tmp_path / "t")
+    spark.range(0, 1000, numPartitions=1).write.parquet(path)
+    one = spark.read.parquet(path)
+    assert one.rdd.getNumPartitions() == 1
+    assert spread_scan(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = str(tmp_path / "m")
+    spark.range(0, 1000, numPartitions=8).write.parquet(many)
+    wide = spark.read.option("maxPartitionBytes", 1).parquet(many)
+    if wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        assert spread_scan(wide) is wide

@@ -27,6 +27,15 @@ DEFAULTS = {
 }
 
 
+def _driver_memory() -> str:
+    """16 GB, or 60 % of physical memory on a smaller machine (local mode runs in the driver)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+
+
 def build_session(master: str | None = None, app: str = "webtext", shuffle_partitions: int | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
@@ -35,7 +44,7 @@ def build_session(master: str | None = None, app: str = "webtext", shuffle_parti
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("WEBTEXT_DRIVER_MEMORY", "16g"))
+    b = b.config("spark.driver.memory", os.environ.get("WEBTEXT_DRIVER_MEMORY", _driver_memory()))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)

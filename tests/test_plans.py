@@ -117,3 +117,10 @@ def test_extractive_brute_force(spark):
                 keep.append(i)
             before += len(ss[i].split())
         assert got[k] == " ".join(ss[i] for i in sorted(keep))
+
+
+def test_every_oracle_statement_plans(duck):
+    sql = E.oracle_sql()
+    assert set(sql) == set(E.queries())
+    for key, stmt in sql.items():
+        duck.execute("EXPLAIN " + stmt)  # raises on a syntax or binding error

@@ -92,6 +92,8 @@ def test_resolve():
     assert resolve("https://e.org/a", "mailto:x@y") == "mailto:x@y"
     assert resolve("https://e.org/a", "/p q") == "https://e.org/p%20q"
     assert resolve("https://e.org/a", "?x=1#f") == "https://e.org/a?x=1"
+    assert resolve("https://e.org/a?b", "?") == "https://e.org/a?"
+    assert resolve("https://e.org/a?b", "?c") == "https://e.org/a?c"
 
 
 def test_attribute_entities_follow_the_attribute_rule():

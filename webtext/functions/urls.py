@@ -94,7 +94,11 @@ def resolve(base: str, ref: str) -> str:
     if (ref_scheme or base_scheme) in SPECIAL:
         ref = ref.replace("\\", "/")
     try:
-        joined = urljoin(base, ref) if ref_scheme is None or ref_scheme in SPECIAL else ref
+        if ref.split("#", 1)[0] == "?":
+            # an empty query replaces the base's query (urljoin would keep the old one)
+            joined = base.split("#", 1)[0].split("?", 1)[0] + "?"
+        else:
+            joined = urljoin(base, ref) if ref_scheme is None or ref_scheme in SPECIAL else ref
         parts = urlsplit(joined)
     except ValueError:
         return ""

@@ -171,3 +171,13 @@ def test_catalog_json_escapes():
     reg = A.ToolRegistry().register(A.Tool("t", "a<b>&c ", {"x": ("string", "")}, []))
     text = reg.catalog_json()
     assert "a\\u003cb\\u003e\\u0026c\\u2028" in text and json.loads(text)[0]["description"] == "a<b>&c "
+
+
+def test_observed_agent_metrics(spark):
+    from webtext.operators.metrics import observe_agent_metrics
+
+    texts = [json.dumps(VALID), '{"message":"m"} xyz', json.dumps({**VALID, "confidence": 0.2})]
+    decided = A.route_decision(A.parse_decision(decisions_df(spark, texts)))
+    observed, obs = observe_agent_metrics(decided)
+    assert observed.count() == 3
+    assert obs.get == {"requests": 3, "calls": 4, "parse_failures": 1, "low_confidence": 2}

@@ -4,7 +4,7 @@ group key ships one partial row per partition."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_length
@@ -41,3 +41,19 @@ def agent_metrics(decided: DataFrame) -> DataFrame:
         F.count(F.when(~F.col("parse_ok"), 1)).alias("parse_failures"),
         F.count(F.when(F.col("decision.confidence") < 0.5, 1)).alias("low_confidence"),
     )
+
+
+def observe_agent_metrics(decided: DataFrame, name: str = "agent_metrics") -> tuple[DataFrame, Observation]:
+    """M3 without a separate job: the same totals as :func:`agent_metrics`
+    (over all routes) collected by ``DataFrame.observe`` while the decided
+    rows flow into whatever action runs next. Read them with ``obs.get``
+    after that action."""
+    obs = Observation(name)
+    observed = decided.observe(
+        obs,
+        F.count(F.lit(1)).alias("requests"),
+        F.coalesce(F.sum(F.size("decision.tool_calls")), F.lit(0)).cast("long").alias("calls"),
+        F.count(F.when(~F.col("parse_ok"), 1)).alias("parse_failures"),
+        F.count(F.when(F.col("decision.confidence") < 0.5, 1)).alias("low_confidence"),
+    )
+    return observed, obs

@@ -33,3 +33,11 @@ def ship(df: DataFrame) -> SparkSession:
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct ``row``, so that a helper column can't clash with one of them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def keep_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents whose id and text digest are in ``chosen`` (id, digest), with all their columns; of equal ones, one."""
+    keyed = docs.select(whole_row(docs), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest"), F.col(id_col).alias("id"))
+    same = F.col("k.digest").eqNullSafe(F.col("d.digest")) & F.col("k.id").eqNullSafe(F.col("d.id"))
+    kept = keyed.alias("k").join(chosen.alias("d"), same, "left_semi")
+    return kept.dropDuplicates(["digest", "id"]).select("row.*")

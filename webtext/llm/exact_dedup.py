@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtext.llm.common import materialise, ship, table, whole_row
+from webtext.llm.common import keep_rows, materialise, ship, table
 
 SLOTS, MAX_KICKS, SALTS = 4, 500, 16
 LEAST = -(2**63)
@@ -239,10 +239,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     decided = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest"))
-    keyed = docs.select(whole_row(docs), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest"), F.col(id_col).alias("id"))
-    same = F.col("k.digest").eqNullSafe(F.col("d.digest")) & F.col("k.id").eqNullSafe(F.col("d.id"))
-    kept = keyed.alias("k").join(decided.alias("d"), same, "left_semi")
-    return kept.dropDuplicates(["digest", "id"]).select("row.*")  # rows that repeat both id and text
+    return keep_rows(docs, decided, id_col, text_col)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Registered queries of the subpackage, and their reference SQL where SQL can express them."""
 
-from webtext.llm import chat_format, exact_dedup, nearest, packing, url_filter
+from webtext.llm import chat_format, exact_dedup, nearest, packing, simhash, suffix_dedup, url_filter
 
 QUERIES = {f.__name__: f for f in (
     url_filter.op1_url_filters,
     exact_dedup.op2_exact_dedup,
     chat_format.op4_chat_formatting,
+    simhash.op7_simhash_near_dedup,
     nearest.op8_approximate_nearest_neighbours,
+    suffix_dedup.op9_suffix_array_dedup,
     packing.op10_packing,
 )}
 

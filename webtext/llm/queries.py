@@ -1,11 +1,14 @@
 """Registered queries of the subpackage, and their reference SQL where SQL can express them."""
 
-from webtext.llm import chat_format, exact_dedup, nearest, packing, simhash, suffix_dedup, url_filter
+from webtext.llm import chat_format, chunk_dedup, exact_dedup, language_id, nbest_pieces, nearest, packing, simhash, suffix_dedup, url_filter
 
 QUERIES = {f.__name__: f for f in (
     url_filter.op1_url_filters,
     exact_dedup.op2_exact_dedup,
+    language_id.op3_language_id,
     chat_format.op4_chat_formatting,
+    chunk_dedup.op5_substring_dedup,
+    nbest_pieces.op6_sentencepiece,
     simhash.op7_simhash_near_dedup,
     nearest.op8_approximate_nearest_neighbours,
     suffix_dedup.op9_suffix_array_dedup,

@@ -39,16 +39,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtext.llm.common import materialise, ship, table, whole_row
+from webtext.llm.common import materialise, ship, table
+from webtext.llm.occurrences import ROW, frequent_keys, occurrences, row_batches
+from webtext.llm.ranges import cut_texts, document_rows, merged_ranges, without_ranges
 
 LENGTH, GRAM = 100, 32
 PART = 1 << 20  # bytes of a text whose anchors are found at a time
 INDEX_BITS = 21  # positions of one suffix array
-WIDE, SALTS, HOT, SAMPLE = 4096, 64, 1000, 64
+WIDE = 4096  # contexts of an anchor in one shard
 
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-OCCURRENCE = "anchor long, salt int, context long, doc_id long, tag long, at int"
 
 
 def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -90,14 +91,8 @@ def context(data: bytes, at: int, length: int = LENGTH) -> tuple[bytes, int]:
     return data[at - left:at + length], left
 
 
-def document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tag, data): the tag, a hash of the text, tells rows of one id apart."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("data"))
-
-
-def occurrences(rows: DataFrame, hot: list[int], length: int = LENGTH) -> DataFrame:
-    """Every anchor occurrence; those of ``hot`` anchors carry a salt from 1 to SALTS."""
+def anchor_rows(rows: DataFrame, hot: list[int], length: int = LENGTH) -> DataFrame:
+    """Every anchor occurrence: key the anchor's hash, value its context's digest, size the bytes of the context left of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.array(sorted(hot), np.int64)
@@ -112,59 +107,11 @@ def occurrences(rows: DataFrame, hot: list[int], length: int = LENGTH) -> DataFr
                 for p in places.tolist():
                     left = min(p, length - GRAM)
                     digests.append(xxhash.xxh3_64_intdigest(data[p - left:p + length], left))
-            if not digests:
-                continue
-            doc, at, anchor = np.concatenate(doc), np.concatenate(at), np.concatenate(anchor).view(np.int64)
-            tags = b.column(1).to_numpy()[doc]
-            salt = np.where(np.isin(anchor, frequent), 1 + tags % SALTS, 0)
-            for s in range(0, len(doc), 1 << 16):
-                e = slice(s, s + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[e]), pa.array(salt[e].astype(np.int32)), pa.array(np.array(digests[e], np.uint64).view(np.int64)), b.column(0).take(pa.array(doc[e])), pa.array(tags[e]), pa.array(at[e].astype(np.int32))], names=[c.split()[0] for c in OCCURRENCE.split(", ")])
-
-    return rows.mapInArrow(run, OCCURRENCE)
-
-
-def frequent_anchors(rows: DataFrame, length: int = LENGTH) -> list[int]:
-    """At most HOT anchors, the most frequent of a sample of 1 / SAMPLE of the documents.
-
-    Only the way of an occurrence depends on this list, never the result.
-    """
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    top = occurrences(sample, [], length).groupBy("anchor").count().where("count >= 8").orderBy(F.desc("count"), "anchor").limit(HOT)
-    return [r[0] for r in top.select("anchor").collect()]
+            if digests:
+                at = np.concatenate(at)
+                yield from row_batches(b, np.concatenate(doc), np.concatenate(anchor).view(np.int64), np.array(digests, np.uint64).view(np.int64), at, np.minimum(at, length - GRAM), frequent)
 
-
-def _first_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Sorted occurrences -> covered ranges (contexts = 0) and first occurrences of their context.
-
-    ``contexts`` is the number of different contexts of the anchor (1 or more)
-    for first occurrences that are still to be compared.
-    """
-    held: pa.Table | None = None
-
-    def settle(t: pa.Table) -> pa.RecordBatch | None:
-        anchor, salt, ctx = (t.column(c).to_numpy() for c in ("anchor", "salt", "context"))
-        new_anchor = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])])
-        new_ctx = new_anchor.copy()
-        new_ctx[1:] |= ctx[1:] != ctx[:-1]
-        group = np.cumsum(new_anchor) - 1
-        kinds = np.bincount(group, new_ctx).astype(np.int64)[group]
-        contexts = np.where(new_ctx, kinds, 0)
-        wanted = np.flatnonzero(~new_ctx | (kinds > 1) | (salt > 0))
-        out = t.take(pa.array(wanted)).append_column("contexts", pa.array(contexts[wanted]))
-        return out.combine_chunks().to_batches()
-
-    for b in batches:
-        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        if held.num_rows < 1 << 16:
-            continue
-        anchor, salt = held.column("anchor").to_numpy(), held.column("salt").to_numpy()
-        whole = int(np.argmax((anchor == anchor[-1]) & (salt == salt[-1])))  # the last group may go on
-        if whole:
-            yield from settle(held.slice(0, whole))
-            held = held.slice(whole).combine_chunks()
-    if held is not None and held.num_rows:
-        yield from settle(held)
+    return rows.mapInArrow(run, ROW)
 
 
 # -- suffix arrays ---------------------------------------------------------------------------
@@ -329,22 +276,11 @@ def _merge_shards(part: pd.DataFrame) -> pd.DataFrame:
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, shard_bytes: int = 3 << 19, wide: int = WIDE) -> DataFrame:
     """(doc_id, tag, start, stop): ranges whose union is what is to be removed."""
-    spark = ship(rows)
-    hot = frequent_anchors(rows, length)
-    sorted_rows = occurrences(rows, hot, length).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "context", "doc_id", "tag", "at")
-    firsts = materialise(sorted_rows.mapInArrow(lambda it: _first_contexts(it, length), OCCURRENCE + ", contexts long"), "first-contexts")
-    start, stop = F.greatest(F.lit(0), F.col("at") - (length - GRAM)).cast("long"), (F.col("at") + length).cast("long")
-    covered = firsts.where("contexts = 0").select("doc_id", "tag", start.alias("start"), stop.alias("stop"))
-    place = F.struct("doc_id", "tag", "at")
-
-    # salted anchors: the salts' first occurrences of one context
-    local = firsts.where("contexts > 0 and salt > 0")
-    merged = local.groupBy("anchor", "context").agg(F.min(place).alias("first"))
-    later = local.join(merged, ["anchor", "context"]).where(~place.eqNullSafe(F.col("first")))
-    covered = covered.unionByName(later.select("doc_id", "tag", start.alias("start"), stop.alias("stop")))
-    kinds = merged.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    merged = merged.join(kinds, "anchor").select("anchor", "first.*", "contexts")
-    open_rows = materialise(firsts.where("contexts > 1 and salt = 0").select("anchor", "doc_id", "tag", "at", "contexts").unionByName(merged), "open-contexts")
+    ship(rows)
+    hot = frequent_keys(rows, lambda docs, known: anchor_rows(docs, known, length))
+    later, different = occurrences(anchor_rows(rows, hot, length), "anchors")
+    covered = later.select("doc_id", "tag", (F.col("at") - F.col("size")).cast("long").alias("start"), (F.col("at") + length).cast("long").alias("stop"))
+    open_rows = materialise(different.select(F.col("key").alias("anchor"), "doc_id", "tag", "at", F.col("values").alias("contexts")), "open-contexts")
 
     shards = max(1, math.ceil(open_rows.count() * (2 * length - GRAM) / shard_bytes))
     per_doc = open_rows.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "at", "contexts")).alias("open"))
@@ -378,81 +314,15 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, shard_bytes: int = 3
     return covered.unionByName(across)
 
 
-def merged_ranges(ranges: DataFrame) -> DataFrame:
-    """(doc_id, tag, ranges): disjoint ranges of every document that has any, in order."""
-    listed = ranges.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("ranges"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.column(2):
-                merged: list[list[int]] = []
-                for x in r.as_py():
-                    if merged and x["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x["stop"])
-                    else:
-                        merged.append([x["start"], x["stop"]])
-                out.append([{"start": s, "stop": e} for s, e in merged])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=["doc_id", "tag", "ranges"])
-
-    return listed.mapInArrow(run, "doc_id long, tag long, ranges array<struct<start:long,stop:long>>")
-
-
-def _kept(data: bytes, ranges: list[dict] | None) -> bytes:
-    out, done = [], 0
-    for r in ranges or []:
-        out.append(data[done:r["start"]])
-        done = r["stop"]
-    return b"".join([*out, data[done:]])
-
-
-def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    same = F.col("m.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("m.tag") == F.col("r.tag"))
-    return rows.alias("r").join(ranges.alias("m"), same, "left").select("r.*", "m.ranges")
-
-
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, ranges, kept (the remaining bytes)."""
     rows = document_rows(docs, id_col, text_col)
-    joined = with_ranges(rows, merged_ranges(repeated_ranges(rows, length)))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [_kept(d.as_py(), r.as_py()) for d, r in zip(b.column(1), b.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(d.as_buffer()) for d in b.column(1)], pa.int64()), b.column(2), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "ranges", "kept"])
-
-    done = joined.select("doc_id", "data", "ranges").mapInArrow(cut, "doc_id long, n_bytes long, ranges array<struct<start:long,stop:long>>, kept binary")
-    return done.select(F.col("doc_id").alias(id_col), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.coalesce(F.size("ranges"), F.lit(0)).cast("long").alias("n_spans"), "ranges", "kept")
+    return without_ranges(rows, merged_ranges(repeated_ranges(rows, length)), id_col)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """The documents with their repeated ranges cut from the text, all columns kept.
-
-    A range is narrowed to whole characters, so that the rest is valid UTF-8;
-    ``n_chars`` is set anew where the table has it.
-    """
-    rows = document_rows(docs, id_col, text_col)
-    ranges = merged_ranges(repeated_ranges(rows, length))
-    keyed = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
-    joined = with_ranges(keyed, ranges).select("row", F.col(f"row.`{text_col}`").cast("binary").alias("data"), "ranges")
-
-    @F.pandas_udf("string")
-    def cut(data: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([d if d is None else _kept(d, [_narrow(d, r) for r in x]).decode() for d, x in zip(data, ranges, strict=True)])
-
-    text = F.when(F.col("ranges").isNull(), F.col(f"row.`{text_col}`")).otherwise(cut("data", "ranges"))
-    out = joined.withColumn("cut", text)
-    columns = [F.col("cut").alias(c) if c == text_col else F.length("cut").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*columns)
-
-
-def _narrow(data: bytes, r: dict) -> dict:
-    start, stop = r["start"], r["stop"]
-    while start < stop and data[start] & 0xC0 == 0x80:
-        start += 1
-    while stop > start and stop < len(data) and data[stop] & 0xC0 == 0x80:
-        stop -= 1
-    return {"start": start, "stop": stop}
+    """The documents with their repeated ranges cut from the text, all columns kept."""
+    return cut_texts(docs, merged_ranges(repeated_ranges(document_rows(docs, id_col, text_col), length)), id_col, text_col)
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,11 +76,12 @@ def cut_texts(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) ->
     ``n_chars`` is set anew where the table has it.
     """
     keyed = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
-    joined = with_ranges(keyed, ranges).select("row", F.col(f"row.`{text_col}`").cast("binary").alias("data"), "ranges")
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    joined = with_ranges(keyed, ranges).select("row", F.when(F.col("ranges").isNotNull(), text).cast("binary").alias("data"), "ranges")  # whole texts don't go to Python
 
     @F.pandas_udf("string")
     def cut(data: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([d if d is None else _kept(d, [_narrow(d, r) for r in x]).decode() for d, x in zip(data, ranges, strict=True)])
+        return pd.Series([None if x is None else _kept(d, [_narrow(d, r) for r in x]).decode() for d, x in zip(data, ranges, strict=True)])
 
     text = F.when(F.col("ranges").isNull(), F.col(f"row.`{text_col}`")).otherwise(cut("data", "ranges"))
     out = joined.withColumn("cut", text)

@@ -44,6 +44,7 @@ LITERAL = "\udc00"  # stands for a word mark of the text; no text holds this cod
 MEMORY = 400_000  # words whose paths a Python worker remembers
 LONGEST_WORD = 64  # characters of a remembered word
 PENALTY = 10.0
+UNUSED = -1e8  # pieces scored below are for white space only and lose to their parts
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -68,7 +69,7 @@ class PieceModel:
         # every piece with its score and id, and every beginning of one
         self.trie: dict[str, tuple] = {p[:n]: () for p in self.ids for n in range(1, len(p))}
         self.trie.update({p: (self.scores[p], (i,)) for p, i in self.ids.items()})
-        self.byte_score = min(self.scores.values()) - PENALTY
+        self.byte_score = min(s for s in self.scores.values() if s > UNUSED) - PENALTY
         self.parts = re.compile(rf"{MARK}*(?:[^\W\d_¹²³]+|(?:(?!{MARK})[\W\d_¹²³])+)|{MARK}+")
         if not all(self.parts.fullmatch(p) for p in self.ids):  # some piece joins letters with others: part at word marks only
             self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")

@@ -16,7 +16,10 @@ fetched from the text and dealt to a shard with the others of the anchor. A
 shard sorts its suffixes by Larsson-Sadakane refinement (numpy sorts of packed
 rank pairs, sorted groups left alone), takes the common prefixes of neighbours
 by Kasai's rule, and so gets the classes of equal strings; in each class the
-earliest start stays. An anchor with more than ``WIDE`` different contexts is
+earliest start stays. An anchor with more than ``WIDE`` different contexts (a
+common line, say) is replaced by STEPS longer ones, the anchor with bytes
+beside it, of which every repeated string holds one; contexts alone on a longer
+anchor are done. A longer anchor that still has more than ``WIDE`` contexts is
 dealt to several shards; these put out their classes' strings, and the shards
 are merged by binary search in the sorted strings of all.
 
@@ -47,6 +50,7 @@ LENGTH, GRAM = 100, 32
 PART = 1 << 20  # bytes of a text whose anchors are found at a time
 INDEX_BITS = 21  # positions of one suffix array
 WIDE = 4096  # contexts of an anchor in one shard
+STEPS = 4
 
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -91,6 +95,22 @@ def context(data: bytes, at: int, length: int = LENGTH) -> tuple[bytes, int]:
     return data[at - left:at + length], left
 
 
+def longer_anchors(piece: bytes, left: int, length: int = LENGTH) -> list[int]:
+    """Keys of an anchor together with bytes beside it.
+
+    A string of ``length`` bytes with l bytes before the anchor holds, for the
+    step that l falls in, the least l of the step and the bytes that are left
+    for the other side. So equal strings share the key of their step.
+    """
+    step, right, out = (length - GRAM) // STEPS, len(piece) - left - GRAM, []
+    for k in range(STEPS):
+        before, after = k * step, length - GRAM - (k + 1) * step if k < STEPS - 1 else 0
+        if left >= before and right >= after:
+            key = xxhash.xxh3_64_intdigest(piece[left - before:left + GRAM + after], k)
+            out.append(key - (1 << 64) if key >> 63 else key)
+    return out
+
+
 def anchor_rows(rows: DataFrame, hot: list[int], length: int = LENGTH) -> DataFrame:
     """Every anchor occurrence: key the anchor's hash, value its context's digest, size the bytes of the context left of it."""
 
@@ -294,17 +314,21 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, shard_bytes: int = 3
                 data = data.as_py()
                 for w in wanted.as_py():
                     piece, left = context(data, w["at"], length)
-                    doc.append(i)
-                    found.append((w["anchor"], w["at"], left, w["contexts"], piece))
+                    crowded = w["contexts"] > wide
+                    for anchor in longer_anchors(piece, left, length) if crowded else [w["anchor"]]:
+                        doc.append(i)
+                        found.append((anchor, w["at"], left, crowded, piece))
             for s in range(0, len(doc), 1 << 14):
-                anchor, at, left, kinds, piece = zip(*found[s:s + (1 << 14)], strict=True)
+                anchor, at, left, crowded, piece = zip(*found[s:s + (1 << 14)], strict=True)
                 which = pa.array(doc[s:s + (1 << 14)])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *(pa.array(x, pa.int64()) for x in (anchor, at, left, kinds)), pa.array(piece, pa.binary())], names=["doc_id", "tag", "anchor", "at", "left", "contexts", "data"])
-
-    contexts = fetched.mapInArrow(fetch, "doc_id long, tag long, anchor long, at long, left long, contexts long, data binary")
-    contexts = contexts.withColumn("wide", F.col("contexts") > wide)
-    salt = F.when(F.col("wide"), F.pmod(F.xxhash64("doc_id", "tag", "at"), F.ceil(F.col("contexts") / wide))).otherwise(F.lit(0))
-    contexts = contexts.withColumn("shard", F.when(F.col("wide"), F.xxhash64("anchor", salt)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *(pa.array(x, pa.int64()) for x in (anchor, at, left)), pa.array(crowded), pa.array(piece, pa.binary())], names=["doc_id", "tag", "anchor", "at", "left", "crowded", "data"])
+
+    contexts = materialise(fetched.mapInArrow(fetch, "doc_id long, tag long, anchor long, at long, left long, crowded boolean, data binary"), "contexts")
+    crowds = contexts.where("crowded").groupBy("anchor").count().where("count > 1")
+    crowded = contexts.where("crowded").join(crowds, "anchor").withColumn("wide", F.col("count") > wide)
+    salt = F.when(F.col("wide"), 1 + F.pmod(F.xxhash64("doc_id", "tag", "at"), F.ceil(F.col("count") / wide))).otherwise(F.lit(0))
+    crowded = crowded.withColumn("shard", F.when(F.col("wide"), F.xxhash64("anchor", salt)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))).drop("count")
+    contexts = contexts.where("not crowded").withColumn("wide", F.lit(False)).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).unionByName(crowded).drop("crowded")
 
     found = contexts.groupBy("shard").applyInPandas(lambda part: pd.concat(_shard(part, length), ignore_index=True), FOUND)
     found = materialise(found, "suffix-ranges")

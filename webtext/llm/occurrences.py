@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,11 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new_key) - 1
         kinds = np.bincount(group, new_value).astype(np.int64)[group]
         values = np.where(new_value, kinds, 0)
-        wanted = np.flatnonzero(~new_value | (kinds > 1) | (salt > 0))
+        first = np.maximum.accumulate(np.where(new_value, np.arange(len(key)), 0))
+        doc = t.column("doc_id")
+        place = [pc.fill_null(doc, 0).to_numpy(), pc.is_null(doc).to_numpy(), t.column("tag").to_numpy(), t.column("at").to_numpy()]
+        again = ~new_value & np.logical_and.reduce([x == x[first] for x in place])  # rows that repeat id and text
+        wanted = np.flatnonzero(~again & (~new_value | (kinds > 1) | (salt > 0)))
         out = t.take(pa.array(wanted)).append_column("values", pa.array(values[wanted]))
         return out.combine_chunks().to_batches()
 

@@ -55,11 +55,11 @@ def _selector(text: str) -> Selector:
 
 
 def is_html(content_type: str | None) -> bool:
-    """HTML callbacks run for html and (non-.xml) xml responses; an unknown type counts as HTML."""
+    """HTML and XHTML responses are parsed; an unknown type counts as HTML."""
     if content_type is None:
         return True
     ct = content_type.lower()
-    return "html" in ct or "xml" in ct
+    return "html" in ct
 
 
 def empty_record() -> dict:

@@ -1,7 +1,7 @@
 """Agent decisions and tool calls (A1-A16) as DataFrame jobs.
 
 Turns become requests, requests get a model decision, decisions explode into
-calls, calls are validated against a broadcast tool catalog with Catalyst
+calls, calls are validated against the tool catalog with Catalyst
 higher-order functions, valid calls run through each tool's DataFrame
 handler, and results are aggregated per request in call order.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.decision import canonical_decision, typed_decision
 from ..functions.text import ws_trim
+from ..session import ship_package
 from .summarize import chat_request
 
 # Prompt texts of the agent.
@@ -74,7 +75,7 @@ POST_SYSTEM = (
     "(e.g., Summarize, Recommend, Exclude, Transform) on the given content. Return only the final result with no "
     "preamble. Keep it faithful, concise, and helpful."
 )
-LOW_CONFIDENCE_FMT = "Confidence: %.1f%% - I'm not very confident about this interpretation."
+LOW_CONFIDENCE_FMT = "Confidence: %s%% - I'm not very confident about this interpretation."
 LOW_CONFIDENCE = 0.5
 AGENT_MAX_TOKENS = 1000
 AGENT_TEMPERATURE = 0.2
@@ -194,7 +195,7 @@ def catalog_with_pretty(registry: ToolRegistry, spark: SparkSession) -> DataFram
         [(t.name, pretty_schema(t) if t.params is not None else None) for t in registry.tools],
         "tool_name string, schema_pretty string",
     ).dropDuplicates(["tool_name"])
-    return cat.join(F.broadcast(pretty), "tool_name", "left")
+    return cat.join(pretty, "tool_name", "left")
 
 
 # -- A1 sessions ------------------------------------------------------------
@@ -244,6 +245,7 @@ def analysis_request(requests: DataFrame, registry: ToolRegistry, model: str,
 
 def parse_decision(decisions: DataFrame, text_col: str = "decision_text") -> DataFrame:
     """A4: trimmed text -> typed ``decision`` struct and ``parse_ok``."""
+    ship_package(decisions.sparkSession)
     canon = decisions.withColumn("_canon", canonical_decision(ws_trim(F.col(text_col))))
     return canon.withColumns(
         {"decision": typed_decision(F.col("_canon")), "parse_ok": F.col("_canon").isNotNull()}
@@ -251,10 +253,11 @@ def parse_decision(decisions: DataFrame, text_col: str = "decision_text") -> Dat
 
 
 def low_confidence(decisions: DataFrame) -> DataFrame:
-    """A5: the warning text for confidence < 0.5, else NULL."""
+    """A5: the warning text for confidence < 0.5, else NULL. ``format_number``
+    rounds the exact binary value, ties to even."""
     conf = F.col("decision.confidence")
     return decisions.withColumn(
-        "confidence_note", F.when(conf < LOW_CONFIDENCE, F.format_string(LOW_CONFIDENCE_FMT, conf * 100))
+        "confidence_note", F.when(conf < LOW_CONFIDENCE, F.format_string(LOW_CONFIDENCE_FMT, F.format_number(conf * 100, 1)))
     )
 
 
@@ -305,10 +308,25 @@ def _type_error(args: Column, params: Column) -> Column:
 
 def validate_calls(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     """``validation_error`` = unknown tool, else first missing required
-    parameter, else first wrongly typed parameter, else NULL. The catalog is a
-    broadcast side (its size is the registry's, checked on the driver)."""
+    parameter, else first wrongly typed parameter, else NULL."""
+    checked = _checked(calls, catalog)
+    return checked.withColumn("validation_error", F.coalesce("_unknown", "_missing", "_type")).drop("_unknown", "_missing", "_type")
+
+
+def missing_params(calls: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``validation_error`` = first missing required parameter of a known tool, else NULL."""
+    return _checked(calls, catalog).withColumn("validation_error", F.col("_missing")).drop("_unknown", "_missing", "_type")
+
+
+def param_types(calls: DataFrame, catalog: DataFrame) -> DataFrame:
+    """A10: ``validation_error`` = first wrongly typed parameter of a known tool, missing ones or not, else NULL."""
+    return _checked(calls, catalog).withColumn("validation_error", F.col("_type")).drop("_unknown", "_missing", "_type")
+
+
+def _checked(calls: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The calls with the message of each check: ``_unknown``, ``_missing``, ``_type``."""
     cat = catalog.select("tool_name", "params", "required", "has_schema", F.lit(True).alias("_known"))
-    j = calls.join(F.broadcast(cat), calls["name"] == cat["tool_name"], "left")
+    j = calls.join(cat, calls["name"] == cat["tool_name"], "left")
     args = F.coalesce(F.col("arguments"), F.create_map().cast("map<string,struct<kind:string,text:string>>"))
     missing = F.get(F.filter(F.col("required"), lambda p: ~F.map_contains_key(args, p)), 0)
     unknown = F.when(F.col("_known").isNull(), F.concat(F.lit("unknown tool: "), F.col("name")))
@@ -317,7 +335,7 @@ def validate_calls(calls: DataFrame, catalog: DataFrame) -> DataFrame:
         F.format_string("missing required parameter '%s' for tool '%s'", missing, F.col("name")),
     )
     type_msg = F.when(F.col("has_schema"), _type_error(args, F.col("params")))
-    return j.withColumn("validation_error", F.coalesce(unknown, miss_msg, type_msg)).drop(
+    return j.withColumns({"_unknown": unknown, "_missing": miss_msg, "_type": type_msg}).drop(
         "tool_name", "params", "required", "has_schema", "_known"
     )
 
@@ -336,6 +354,8 @@ def run_calls(valid_calls: DataFrame, registry: ToolRegistry, ctx: dict) -> Data
 
     Result text = all text parts joined by a blank line; a tool's ``is_error``
     flag is kept as a column but does not stop the text from counting as a result.
+    A call without an output (its tool has no handler, or the handler lost it)
+    gets an error row without a result.
     """
     outs = []
     for name in dict.fromkeys(t.name for t in registry.tools):
@@ -345,15 +365,15 @@ def run_calls(valid_calls: DataFrame, registry: ToolRegistry, ctx: dict) -> Data
         mine = valid_calls.filter(F.col("name") == name)
         res = tool.handler(mine, ctx).select("request_id", "call_idx", F.lit(name).alias("name"), "parts", "is_error")
         outs.append(res)
+    calls = valid_calls.select("request_id", "call_idx", "name")
     if not outs:
-        spark = valid_calls.sparkSession
-        return spark.createDataFrame(
-            [], "request_id long, call_idx int, name string, parts array<string>, is_error boolean, result string"
-        )
+        none = calls.withColumns({"parts": F.lit(None).cast("array<string>"), "is_error": F.lit(True)})
+        return none.withColumn("result", F.lit(None).cast("string"))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
-    return out.withColumn("result", F.array_join("parts", "\n\n"))
+    done = calls.join(out, ["request_id", "call_idx", "name"], "left").withColumn("is_error", F.coalesce("is_error", F.lit(True)))
+    return done.withColumn("result", F.array_join("parts", "\n\n"))
 
 
 # -- A14-A16 aggregation and post-processing ---------------------------------------
@@ -396,8 +416,7 @@ def post_process(df: DataFrame, completer: Callable[[DataFrame], DataFrame]) ->
     """Run the completer on the rows that need the model; ``final_output``
     is the trimmed completion (or the content for a blank instruction),
     ``post_error`` the failure text. Tool results are never dropped."""
-    need = df.filter(F.col("needs_model")).select("request_id", F.col("prompt"), F.col("content"),
-                                                   F.col("post_max_tokens").alias("max_length"))
+    need = df.filter(F.col("needs_model")).select("request_id", "prompt", "content", F.lit(0).alias("max_length"))
     comp = completer(need).select(
         "request_id", F.col("text").alias("_ptext"), F.col("failure").alias("_pfail"), F.col("cause").alias("_pcause")
     )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import byte_length, byte_prefix, clean_lines
+from ..session import ship_package
 from ..sources.tables import spread_scan
 
 PAGE_FIELDS = T.StructType(
@@ -90,6 +91,7 @@ def extract_pages(
     does the same here for a raw scan built elsewhere (never for a plan with
     a shuffle, whose partitions are spread already).
     """
+    ship_package(pages.sparkSession)
     keep = [c for c in (keep or []) if c not in ("url", "html")]
     cols = [F.col(c) for c in keep] + [F.col("url"), F.col("html")]
     has_ct = "content_type" in pages.columns
@@ -129,11 +131,6 @@ def extract_pages(
     )
 
 
-def _shuffle_partitions(spark) -> int:
-    value = spark.conf.get("spark.sql.shuffle.partitions")
-    return int(value) if str(value).isdigit() else spark.sparkContext.defaultParallelism
-
-
 def page_stats(records: DataFrame) -> DataFrame:
     """Per page, link / image counts and clean-text bytes."""
     return records.select(
@@ -164,15 +161,14 @@ def scrape_urls(
     and join the record back to every request row (left join: an unknown URL
     keeps its row with NULL fields). Adds ``fetch_error`` (NULL on success)."""
     sel = F.coalesce(F.col(selector_col), F.lit("")) if selector_col else F.lit("")
-    # An explicit partition count: the join output feeds CPU-bound parsing, so
-    # adaptive execution must not coalesce it into a few tasks by byte size.
-    # When the wanted set is small, adaptive execution broadcasts it and the
-    # snapshot is only scanned (no snapshot shuffle); otherwise the snapshot
-    # is hash-partitioned by url to match.
-    n = _shuffle_partitions(requests.sparkSession)
-    wanted = requests.select("url", sel.alias("selector")).distinct().repartition(n, "url")
-    snap = pages.select("url", "html", "status_code", "content_type")
-    hits = snap.join(wanted, "url", "inner")
+    # One response per URL, chosen on narrow columns: the one of the largest
+    # page_id. HTML is read for the chosen rows only after that.
+    wanted = requests.select("url", sel.alias("selector")).distinct()
+    key = F.col("page_id") if "page_id" in pages.columns else F.xxhash64("html")
+    keyed = pages.withColumn("_key", key)
+    chosen = keyed.select("url", "_key").join(wanted.select("url"), "url", "left_semi").groupBy("url").agg(F.max("_key").alias("_key"))
+    snap = keyed.select("url", "_key", "html", "status_code", "content_type").join(chosen, ["url", "_key"], "left_semi").drop("_key")
+    hits = snap.join(wanted, "url", "inner").hint("rebalance")
     recs = extract_pages(hits, keep=["selector"], selector=F.nullif(F.col("selector"), F.lit("")))
     recs = recs.withColumn("_found", F.lit(True))
     req = requests.withColumn("_sel", sel)

@@ -326,17 +326,23 @@ def validate_calls(spark, sf):
 def unknown_tool(spark, sf):
     calls = A.explode_calls(_decided(spark, sf))
     cat = default_registry().catalog(spark).select(F.col("tool_name").alias("name"))
-    rej = calls.join(F.broadcast(cat), "name", "left_anti")
+    rej = calls.join(cat, "name", "left_anti")
     return rej.select("request_id", F.col("call_idx").cast("long").alias("call_idx"), "name",
                       F.concat(F.lit("unknown tool: "), F.col("name")).alias("validation_error"))
 
 
+def _faults(spark, sf, check):
+    calls = A.explode_calls(_decided(spark, sf))
+    found = check(calls, default_registry().catalog(spark)).filter(F.col("validation_error").isNotNull())
+    return found.select("request_id", F.col("call_idx").cast("long").alias("call_idx"), "name", "validation_error")
+
+
 def missing_params(spark, sf):
-    return validate_calls(spark, sf).filter(F.col("validation_error").startswith("missing required parameter"))
+    return _faults(spark, sf, A.missing_params)
 
 
 def param_types(spark, sf):
-    return validate_calls(spark, sf).filter(F.col("validation_error").startswith("parameter '"))
+    return _faults(spark, sf, A.param_types)
 
 
 def _outcomes(spark, sf):
@@ -358,7 +364,7 @@ def _answers(spark, sf):
     req = _user_requests(spark, sf)
     decisions = D.decisions(req, load_pages(spark, sf))
     ctx = {"pages": load_pages(spark, sf)}
-    return answer_requests(req, decisions, default_registry(), ctx, C.lead_completer, AGENT_MODEL)
+    return answer_requests(req, decisions, default_registry(), ctx, C.replay_completer(D.post_completions(req)), AGENT_MODEL)
 
 
 def post_process_request(spark, sf):

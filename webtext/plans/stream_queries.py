@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.completers import lead_completer
+from ..operators.completers import replay_completer
 from ..session import scratch_path
 from ..sources import derived as D
 from ..sources.tables import load_pages, page_columns
@@ -52,9 +52,9 @@ def stream_answer_q(spark: SparkSession, sf: str) -> DataFrame:
     registry = default_registry()
 
     def answer(batch: DataFrame) -> DataFrame:
-        req = batch.select((F.col("conv_id") * 8 + F.col("turn")).alias("request_id"), "conv_id", "turn",
+        req = batch.select(D.request_key().alias("request_id"), "conv_id", "turn",
                            F.col("text").alias("user_text"))
-        return answer_requests(req, D.decisions(req, pages), registry, {"pages": pages}, lead_completer)
+        return answer_requests(req, D.decisions(req, pages), registry, {"pages": pages}, replay_completer(D.post_completions(req)))
 
     base = scratch_path(spark, "stream-answer")
     q = stream_answer(_session_stream(spark, sf, exits=False), answer, base + "/data", base + "/checkpoint")

@@ -2,13 +2,14 @@
 
 On a cluster the session is created by the platform; ``configure`` only adds
 settings that are unset. ``checkpoint_dir`` reads ``spark.checkpoint.dir``
-from the session and only falls back to a fresh local folder when it is
-unset (local tests).
+from the session; where it is unset a ``local`` master gets a fresh local folder
+and any other raises an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -74,12 +75,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a local one only when unset."""
+    """The shared checkpoint folder named by the cluster; a fresh local one only
+    where it is unset and all tasks run in this process (``local`` masters)."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="webtext-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

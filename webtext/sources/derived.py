@@ -59,8 +59,8 @@ def recorded_completions(docs: DataFrame) -> DataFrame:
     """Model answers as a table, two kinds per document.
 
     summary: ``doc_id % 10 = 0`` transport error ``boom``; ``= 1`` no choices;
-    else ``'  ' || left(text, 200) || ' '``. keywords: ``% 10 = 2`` error,
-    ``= 3`` no choices, else the first six words joined by ``' , '`` plus ``',,'``.
+    else ``'  ' || text || ' '``. keywords: ``% 10 = 2`` error,
+    ``= 3`` no choices, else every different word, in order of its first place, joined by ``' , '`` plus ``',,'``.
     Model ``m<doc_id % 3>``; tokens from ``n_chars``.
     """
     m = F.col("doc_id") % 10
@@ -81,8 +81,8 @@ def recorded_completions(docs: DataFrame) -> DataFrame:
             F.when(m == err_rem, F.lit("boom")).alias("error"),
         )
 
-    summary = kind("summary", 0, 1, F.concat(F.lit("  "), F.left(F.col("text"), F.lit(200)), F.lit(" ")))
-    kw = kind("keywords", 2, 3, F.concat(F.array_join(F.slice(words(F.col("text")), 1, 6), " , "), F.lit(",,")))
+    summary = kind("summary", 0, 1, F.concat(F.lit("  "), F.col("text"), F.lit(" ")))
+    kw = kind("keywords", 2, 3, F.concat(F.array_join(F.array_distinct(words(F.col("text"))), " , "), F.lit(",,")))
     return summary.unionByName(kw)
 
 
@@ -141,10 +141,28 @@ def _decision(calls: list[Column], should: bool, conf: str, post: str, message:
     return F.concat(*body)
 
 
+def request_key() -> Column:
+    return F.col("conv_id") * F.lit(1 << 32) + F.col("turn")
+
+
+def post_completions(requests: DataFrame) -> DataFrame:
+    """Model answers to post-processing requests, by ``request_id % 5``: 1 a
+    transport error, 2 no choices, else `` Done: <user text> ``."""
+    m = F.col("request_id") % 5
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    return requests.select(
+        "request_id",
+        F.when(m == 2, 0).otherwise(1).alias("n_choices"),
+        F.when((m != 1) & (m != 2), F.concat(F.lit(" Done: "), F.col("user_text"), F.lit(" "))).alias("content"),
+        none.alias("model"), zero.alias("prompt_tokens"), zero.alias("completion_tokens"), zero.alias("total_tokens"),
+        F.when(m == 1, F.lit("boom")).alias("error"),
+    )
+
+
 def user_requests(conversations: DataFrame) -> DataFrame:
-    """User turns as requests: ``request_id = conv_id*8 + turn``."""
+    """User turns as requests: ``request_id = conv_id * 2^32 + turn``, one id for every turn of a conversation of any length."""
     return conversations.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 8 + F.col("turn")).alias("request_id"), "conv_id", "turn", F.col("text").alias("user_text")
+        request_key().alias("request_id"), "conv_id", "turn", F.col("text").alias("user_text")
     )
 
 

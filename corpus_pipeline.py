@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from webtext.llm import exact_dedup, language_id, packing, simhash, suffix_dedup
 from webtext.llm.common import materialise, table
 
-MIN_LANGUAGE_SCORE = 0.3  # a confident wrong family or language keeps a higher score; clean short texts score above 0.5
+MIN_LANGUAGE_SCORE = 0.2  # two even choices, of family and of language, score 0.25: among few languages only texts without a letter go
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from ..operators import pages as P
 from ..operators import summarize as S
 from ..sources import derived as D
 from ..sources.tables import load_conversations, load_documents, load_pages
-from .answer import answer_requests, call_outcomes, decide, default_registry
+from .answer import answer_requests, call_outcomes, decide, default_registry, library_registry
 from .stream_queries import stream_answer_q, stream_extract_q, stream_sessions_q
 
 MODEL = "summary-model"
@@ -269,9 +269,14 @@ def _user_requests(spark, sf):
     return D.user_requests(turns)
 
 
-def _decided(spark, sf):
+def _decided(spark, sf, materialize=False):
     req = _user_requests(spark, sf)
-    return decide(req, D.decisions(req, load_pages(spark, sf)))
+    d = decide(req, D.decisions(req, load_pages(spark, sf)), library_registry(), AGENT_MODEL, materialize=materialize)
+    return d.filter(F.col("error").isNull())
+
+
+def _context(spark, sf):
+    return {"pages": load_pages(spark, sf), "documents": load_documents(spark, sf)}
 
 
 def session_turns(spark, sf):
@@ -315,7 +320,7 @@ def explode_calls(spark, sf):
 
 def _validated(spark, sf):
     d = _decided(spark, sf)
-    return A.validate_calls(A.explode_calls(d), default_registry().catalog(spark))
+    return A.validate_calls(A.explode_calls(d), library_registry().catalog(spark))
 
 
 def validate_calls(spark, sf):
@@ -325,7 +330,7 @@ def validate_calls(spark, sf):
 
 def unknown_tool(spark, sf):
     calls = A.explode_calls(_decided(spark, sf))
-    cat = default_registry().catalog(spark).select(F.col("tool_name").alias("name"))
+    cat = library_registry().catalog(spark).select(F.col("tool_name").alias("name"))
     rej = calls.join(cat, "name", "left_anti")
     return rej.select("request_id", F.col("call_idx").cast("long").alias("call_idx"), "name",
                       F.concat(F.lit("unknown tool: "), F.col("name")).alias("validation_error"))
@@ -333,7 +338,7 @@ def unknown_tool(spark, sf):
 
 def _faults(spark, sf, check):
     calls = A.explode_calls(_decided(spark, sf))
-    found = check(calls, default_registry().catalog(spark)).filter(F.col("validation_error").isNotNull())
+    found = check(calls, library_registry().catalog(spark)).filter(F.col("validation_error").isNotNull())
     return found.select("request_id", F.col("call_idx").cast("long").alias("call_idx"), "name", "validation_error")
 
 
@@ -346,8 +351,7 @@ def param_types(spark, sf):
 
 
 def _outcomes(spark, sf):
-    ctx = {"pages": load_pages(spark, sf)}
-    return call_outcomes(_decided(spark, sf), default_registry(), ctx)
+    return call_outcomes(_decided(spark, sf, materialize=True), library_registry(), _context(spark, sf))
 
 
 def run_calls(spark, sf):
@@ -363,14 +367,13 @@ def aggregate_outputs(spark, sf):
 def _answers(spark, sf):
     req = _user_requests(spark, sf)
     decisions = D.decisions(req, load_pages(spark, sf))
-    ctx = {"pages": load_pages(spark, sf)}
-    return answer_requests(req, decisions, default_registry(), ctx, C.replay_completer(D.post_completions(req)), AGENT_MODEL)
+    return answer_requests(req, decisions, library_registry(), _context(spark, sf), C.replay_completer(D.post_completions(req)), AGENT_MODEL)
 
 
 def post_process_request(spark, sf):
-    req = _user_requests(spark, sf)
-    d = decide(req, D.decisions(req, load_pages(spark, sf)))
-    outs = A.aggregate_outputs(_outcomes(spark, sf).filter(F.col("status") != "rejected"))
+    d = _decided(spark, sf, materialize=True)
+    outcomes = call_outcomes(d, library_registry(), _context(spark, sf))
+    outs = A.aggregate_outputs(outcomes.filter(F.col("status") != "rejected"))
     base = d.filter(F.col("route") == "tools").select(
         "request_id", "user_text", F.col("decision.post_process").alias("post_process")
     ).join(outs, "request_id", "left")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..operators.completers import replay_completer
 from ..session import scratch_path
 from ..sources import derived as D
-from ..sources.tables import load_pages, page_columns
-from ..streaming.streams import file_stream, run_to_parquet, stream_answer, stream_extract, stream_sessions
-from .answer import answer_requests, default_registry
+from ..sources.tables import load_documents, load_pages, page_columns
+from ..streaming.streams import file_stream, run_to_parquet, session_turns_batch, stream_answer, stream_extract
+from .answer import answer_requests, library_registry
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,27 +36,30 @@ def stream_extract_q(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _session_stream(spark: SparkSession, sf: str, exits: bool) -> DataFrame:
+def _line_stream(spark: SparkSession, sf: str, exits: bool) -> DataFrame:
     conv = _stream(spark, sf, "conversations")
     lines = D.session_lines(conv) if exits else conv
-    return stream_sessions(lines.filter(F.col("role") == "user").select("conv_id", "turn", "text"))
+    return lines.filter(F.col("role") == "user").select("conv_id", "turn", "text")
 
 
 def stream_sessions_q(spark: SparkSession, sf: str) -> DataFrame:
-    out = run_to_parquet(_session_stream(spark, sf, exits=True), "stream-sessions", spark)
-    return spark.read.parquet(out).select("conv_id", "turn", "text")
+    base = scratch_path(spark, "stream-sessions")
+    turns = session_turns_batch(base + "/exits")
+    stream_answer(_line_stream(spark, sf, exits=True), turns, base + "/data", base + "/checkpoint").awaitTermination()
+    return spark.read.parquet(base + "/data").select("conv_id", "turn", "text")
 
 
 def stream_answer_q(spark: SparkSession, sf: str) -> DataFrame:
     pages = load_pages(spark, sf)
-    registry = default_registry()
+    registry, ctx = library_registry(), {"pages": pages, "documents": load_documents(spark, sf)}
+    base = scratch_path(spark, "stream-answer")
+    turns = session_turns_batch(base + "/exits")
 
-    def answer(batch: DataFrame) -> DataFrame:
-        req = batch.select(D.request_key().alias("request_id"), "conv_id", "turn",
+    def answer(batch: DataFrame, epoch_id: int) -> DataFrame:
+        req = turns(batch, epoch_id).select(D.request_key().alias("request_id"), "conv_id", "turn",
                            F.col("text").alias("user_text"))
-        return answer_requests(req, D.decisions(req, pages), registry, {"pages": pages}, replay_completer(D.post_completions(req)))
+        return answer_requests(req, D.decisions(req, pages), registry, ctx, replay_completer(D.post_completions(req)))
 
-    base = scratch_path(spark, "stream-answer")
-    q = stream_answer(_session_stream(spark, sf, exits=False), answer, base + "/data", base + "/checkpoint")
+    q = stream_answer(_line_stream(spark, sf, exits=False), answer, base + "/data", base + "/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(base + "/data").drop("epoch_id")

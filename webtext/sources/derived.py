@@ -167,8 +167,14 @@ def user_requests(conversations: DataFrame) -> DataFrame:
 
 
 def decisions(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """One model decision text per request by ``k = request_id % 9`` (FIXTURES §3);
-    ``page(i)`` = url of ``page_id = i % count(pages)``."""
+    """Model answers to analysis requests, as a completions table, by
+    ``k = request_id % 23`` (FIXTURES §3); ``page(i)`` = url of ``page_id = i % count(pages)``.
+
+    0-8 calls of the page tool; 9 should_call false, confidence 0.5; 10 no
+    calls; 11 JSON null; 12 repeated keys; 13 oddly cased keys; 14 null fields;
+    15-18 calls of the document tool, of which 16-18 with faults; 19 a
+    transport error; 20 no choices; 21 no row at all; 22 both tools.
+    """
     n_pages = pages.select(F.count(F.lit(1))).scalar()  # scalar subquery, one value
     p = pages.select("page_id", "url")
     r = requests.select("request_id", n_pages.alias("n_pages"))
@@ -178,23 +184,48 @@ def decisions(requests: DataFrame, pages: DataFrame) -> DataFrame:
     )
     rid = F.col("request_id").cast("string")
     u1, u2 = _q(F.col("url1")), _q(F.col("url2"))
+    doc = (F.col("request_id") % F.col("n_pages")).cast("string")
     scrape1 = _call("scrape_url", [("url", u1)], "page requested")
+
+    def read(doc_id: Column | None, min_chars: str, with_source: str) -> Column:
+        own = [("doc_id", doc_id)] if doc_id is not None else []
+        return _call("read_document", [*own, ("min_chars", F.lit(min_chars)), ("with_source", F.lit(with_source))], "document requested")
+
+    missing = _call("scrape_url", [("url", _q(F.concat(F.lit(MISSING_HOST), rid))), ("selector", F.lit('"article"'))], "missing page")
     valid = _decision([scrape1], True, "0.9", "")
-    k = F.col("request_id") % 9
-    text = (
-        F.when(k == 0, valid)
-        .when(k == 1, _decision([scrape1, _call("scrape_url", [("url", u2)], "second page")], True, "0.8", "Summarize"))
-        .when(k == 2, _decision([_call("fetch_page", [("url", u1)], "fetch")], True, "0.7", ""))
-        .when(k == 3, _decision([_call("scrape_url", [("selector", F.lit('"article"'))], "no url")], True, "0.6", ""))
-        .when(k == 4, _decision([_call("scrape_url", [("url", F.lit("42"))], "numeric url")], True, "0.6", ""))
-        .when(k == 5, _decision([scrape1], True, "0.3", ""))
-        .when(k == 6, F.concat(F.lit("```json\n"), valid, F.lit("\n```")))
-        .when(k == 7, F.concat(valid, F.lit(" Let me know if you need more.")))
-        .otherwise(
-            _decision(
-                [_call("scrape_url", [("url", _q(F.concat(F.lit(MISSING_HOST), rid))), ("selector", F.lit('"article"'))], "missing page")],
-                True, "0.9", "",
-            )
-        )
+    texts = [
+        valid,
+        _decision([scrape1, _call("scrape_url", [("url", u2)], "second page")], True, "0.8", "Summarize"),
+        _decision([_call("fetch_page", [("url", u1)], "fetch")], True, "0.7", ""),
+        _decision([_call("scrape_url", [("selector", F.lit('"article"'))], "no url")], True, "0.6", ""),
+        _decision([_call("scrape_url", [("url", F.lit("42"))], "numeric url")], True, "0.6", ""),
+        _decision([scrape1], True, "0.3", ""),
+        F.concat(F.lit("```json\n"), valid, F.lit("\n```")),
+        F.concat(valid, F.lit(" Let me know if you need more.")),
+        _decision([missing], True, "0.9", ""),
+        _decision([scrape1], False, "0.5", ""),
+        _decision([], True, "0.1225", ""),
+        F.lit("null"),
+        F.concat(F.lit('{"message":"first","confidence":0.9,"tool_calls":['), scrape1, F.lit('],"message":"second","should_call":true,"confidence":0.2345}')),
+        F.concat(F.lit('{"MESSAGE":"cased","Tool_Calls":['), scrape1, F.lit('],"Should_Call":true,"CONFIDENCE":0.3555,"Explanation":"derived decision"}')),
+        F.lit('{"message":null,"tool_calls":null,"should_call":true,"confidence":null,"explanation":null,"post_process":null}'),
+        _decision([read(doc, "100.5", "true")], True, "0.9", "Summarize"),
+        _decision([read(_q(doc), "1", "false")], True, "0.9", ""),
+        _decision([read(doc, '"many"', "false")], True, "0.9", ""),
+        _decision([read(None, "1", "1")], True, "0.9", ""),
+        None, None, None,
+        _decision([scrape1, read(doc, "0", "false"), missing], True, "0.9", "Recommend topic"),
+    ]
+    k = F.col("request_id") % len(texts)
+    text = F.when(F.lit(False), F.lit(""))
+    for i, t in enumerate(texts):
+        if t is not None:
+            text = text.when(k == i, t)
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    return r.where(k != 21).select(
+        "request_id",
+        F.when(k == 20, 0).otherwise(1).alias("n_choices"),
+        text.alias("content"),
+        none.alias("model"), zero.alias("prompt_tokens"), zero.alias("completion_tokens"), zero.alias("total_tokens"),
+        F.when(k == 19, F.lit("boom")).alias("error"),
     )
-    return r.select("request_id", text.alias("decision_text"))

@@ -12,8 +12,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import ws_trim
+from ..operators.agent import EXIT_WORDS
 from ..operators.pages import extract_pages
 from ..session import scratch_path
 
@@ -79,7 +82,11 @@ def _session_step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 
 def stream_sessions(lines_stream: DataFrame) -> DataFrame:
-    """A1 on a stream. State per conversation is the turn number of its
+    """T2 as one streaming DataFrame, for conversations of bounded size; a
+    conversation's lines of a micro-batch are one group of a Python step, so
+    :func:`session_turns_batch` is the form for any size.
+
+    A1 on a stream. State per conversation is the turn number of its
     first exit, so a line arriving in a later micro-batch is kept exactly when
     it comes before that exit. (A line emitted before a smaller exit turn
     arrives cannot be retracted: equal to batch A1 for in-order arrival.)"""
@@ -88,16 +95,42 @@ def stream_sessions(lines_stream: DataFrame) -> DataFrame:
     )
 
 
+def session_turns_batch(exits_path: str) -> Callable[[DataFrame, int], DataFrame]:
+    """T2 for ``foreachBatch``: (lines, epoch) -> the turns that are kept.
+
+    The state is a table of first exits: every epoch writes the exits of its
+    own lines (one row per conversation, partially aggregated) to
+    ``exits_path/epoch_id=<n>``, and a line is kept if no exit of this or an
+    earlier epoch comes at or before it. Texts pass through column expressions
+    and one join on conv_id, which adaptive execution splits for a hot
+    conversation; no group of lines is ever gathered. A replayed epoch
+    overwrites its own folder and reads no later one. A line that was put out
+    before a smaller exit arrives stays, as in :func:`stream_sessions`.
+    """
+
+    def run(lines: DataFrame, epoch_id: int) -> DataFrame:
+        spark = lines.sparkSession
+        t = lines.withColumn("text", ws_trim(F.col("text"))).filter(F.col("text") != "")
+        own = t.filter(F.lower("text").isin(*EXIT_WORDS)).groupBy("conv_id").agg(F.min("turn").alias("exit_turn"))
+        own.write.mode("overwrite").parquet(f"{exits_path}/epoch_id={epoch_id}")
+        exits = spark.read.schema("conv_id long, exit_turn long, epoch_id long").parquet(exits_path).filter(F.col("epoch_id") <= epoch_id)
+        first = exits.groupBy("conv_id").agg(F.min("exit_turn").alias("exit_turn"))
+        kept = t.join(first, "conv_id", "left").filter(F.col("exit_turn").isNull() | (F.col("turn") < F.col("exit_turn")))
+        return kept.select("conv_id", "turn", "text")
+
+    return run
+
+
 # -- T3 ---------------------------------------------------------------------
 
 
 def stream_answer(
     requests_stream: DataFrame,
-    answer: Callable[[DataFrame], DataFrame],
+    answer: Callable[[DataFrame, int], DataFrame],
     out_path: str,
     checkpoint: str,
 ):
-    """Run the batch answer plan on every micro-batch of requests and
+    """Run a batch plan ``(rows, epoch) -> rows`` on every micro-batch and
     write its rows to ``out_path/epoch_id=<n>`` (``foreachBatch``; the
     per-request ordered aggregation is not a streaming aggregate). Each epoch
     overwrites its own folder, so a replayed epoch after a failure does not
@@ -107,7 +140,7 @@ def stream_answer(
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         batch.persist()
         try:
-            answer(batch).write.mode("overwrite").parquet(f"{out_path}/epoch_id={epoch_id}")
+            answer(batch, epoch_id).write.mode("overwrite").parquet(f"{out_path}/epoch_id={epoch_id}")
         finally:
             batch.unpersist()
 

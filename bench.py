@@ -28,7 +28,7 @@ from webtext.sources.tables import load_documents, load_pages  # noqa: E402
 
 def validate_and_prompt(spark, sf):
     """S9 + S2 over all documents."""
-    req = S.validate_requests(D.summary_requests(load_documents(spark, sf)))
+    req = S.validate_requests(D.summary_requests(load_documents(spark, sf, spread=True)))
     return S.summary_prompt(req).select("request_id", "validation_error", "prompt")
 
 
@@ -40,7 +40,7 @@ HEADLINE = {
     "answer_requests": Q.answer_requests_q,
     "extract_batch": Q.extract_batch,
     "summary_with_keywords": Q.summary_with_keywords,
-    "flagship": lambda spark, sf: summarize_pages(load_pages(spark, sf)),
+    "flagship": lambda spark, sf: summarize_pages(load_pages(spark, sf, spread=True)),
 }
 
 

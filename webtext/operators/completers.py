@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count, words, ws_trim
-from ..session import reliable_checkpoint
 
 COMPLETION_COLS = [
     "request_id", "text", "model", "prompt_tokens", "completion_tokens",
@@ -156,41 +155,29 @@ def lead_text(content: Column, max_length: Column) -> Column:
     return F.array_join(F.slice(w, 1, n), " ")
 
 
-def lead_columns(df: DataFrame) -> DataFrame:
-    """The lead completion added as columns of the same row (no join, no shuffle)."""
-    text = lead_text(F.col("content"), F.col("max_length"))
-    src = F.col("prompt") if "prompt" in df.columns else F.col("content")
-    return df.withColumns(
-        {
-            "text": text,
-            "model": F.lit("offline-lead"),
-            "prompt_tokens": word_count(src),
-            "completion_tokens": word_count(text),
-            "total_tokens": word_count(src) + word_count(text),
-            "error": F.lit(None).cast("string"),
-        }
-    )
-
-
 def lead_completer(requests: DataFrame) -> DataFrame:
     """The first ``max_length`` words (all words when max_length <= 0)."""
     return _offline(requests, lead_text(F.col("content"), F.col("max_length")), "offline-lead")
 
 
-def sentence_table(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def _sentences(content: Column) -> Column:
+    """The trimmed sentences of a text, blank ones included."""
+    return F.transform(F.regexp_extract_all(content, F.lit(SENTENCE_RE), 0), ws_trim)
+
+
+def sentence_table(docs: DataFrame) -> DataFrame:
     """Sentences of each text with their position and lower-cased terms."""
-    return (
-        docs.select("request_id", *keep, F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(SENTENCE_RE), 0)).alias("pos", "raw"))
-        .select("request_id", *keep, "pos", ws_trim(F.col("raw")).alias("sentence"))
-        .filter(F.col("sentence") != "")
-        .withColumn("terms", F.regexp_extract_all(F.lower(F.col("sentence")), F.lit(TERM_RE), 0))
+    sentences = F.filter(_sentences(F.col("content")), lambda s: s != "")
+    # outer, as a plain explode makes the optimizer add a filter that cuts every text twice
+    return docs.select("request_id", F.posexplode_outer(sentences).alias("pos", "sentence")).filter(F.col("pos").isNotNull()).withColumn(
+        "terms", F.regexp_extract_all(F.lower(F.col("sentence")), F.lit(TERM_RE), 0)
     )
 
 
-def _occurrences(sentences: DataFrame, *cols: str) -> DataFrame:
+def _occurrences(sentences: DataFrame) -> DataFrame:
     # explode_outer + NULL filter: a plain explode makes the optimizer add a
     # size(terms) > 0 filter that re-runs the term regex for every sentence
-    return sentences.select("request_id", *cols, F.explode_outer("terms").alias("term")).filter(F.col("term").isNotNull())
+    return sentences.select("request_id", F.explode_outer("terms").alias("term")).filter(F.col("term").isNotNull())
 
 
 def _term_counts(sentences: DataFrame) -> DataFrame:
@@ -225,7 +212,8 @@ def _weights(tf: DataFrame, corpus: DataFrame | None, extra: tuple[str, ...] = (
             .groupBy("term")
             .agg(F.count(F.lit(1)).alias("df"))
         )
-    return tf.join(dfreq, "term").select(
+    # a term that an external corpus does not hold weighs like one of a single document
+    return tf.join(dfreq, "term", "inner" if corpus is None else "left").withColumn("df", F.coalesce("df", F.lit(1))).select(
         "request_id", "term", "tf", "df", F.expr(f"(tf * {WEIGHT_SCALE}) div df").alias("weight"), *extra
     )
 
@@ -247,42 +235,38 @@ def extractive_summaries(requests: DataFrame, corpus: DataFrame | None = None) -
     first) taken while the words before them are under ``max_length``, output
     in document order; ``bullet_points`` gives one ``- `` line per sentence.
 
-    The texts are tokenized once into a sentence table and cut from its
-    lineage into the shared checkpoint folder: its consumers (term counts,
-    sentence scores, ranking) read different columns, so without it every
-    consumer would tokenize again. Every group downstream (a request's
-    sentences, a request-term's positions) is bounded by one text.
+    Scoring and ranking see no text: the terms of every sentence are shuffled
+    once, by request (all consumers read the same exchange), then only
+    (request_id, pos, word count, score). The chosen positions are joined back
+    to the texts, which are cut into sentences again; that is cheaper than
+    carrying or writing them. Every group (a request's sentences, a
+    request-term's positions) is bounded by one text.
     """
     docs = requests.select("request_id", "content", "max_length", "style")
-    sentences = reliable_checkpoint(sentence_table(docs, keep=("max_length", "style")).repartition("request_id"))
     # One aggregate per (request, term) gives both the term count and the
     # sentence positions holding the term, so the weight is joined once per
-    # (request, term) and spread back to its sentences -- no join of every
-    # term occurrence. A position list is bounded by one text.
-    per_term = _occurrences(sentences, "pos").groupBy("request_id", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.collect_list("pos").alias("positions")
-    )
-    weights = _weights(per_term, corpus, extra=("positions",))
-    scores = (
-        weights.select("request_id", "weight", F.explode("positions").alias("pos"))
-        .groupBy("request_id", "pos")
-        .agg(F.sum("weight").alias("score"))
-    )
-    ranked = sentences.join(scores, ["request_id", "pos"], "left").select(
-        "request_id", "pos", "sentence", "max_length", "style",
-        F.coalesce(F.col("score"), F.lit(0)).alias("score"), word_count(F.col("sentence")).alias("n_words"),
-    )
-    by_rank = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("pos"))
-    running = F.sum("n_words").over(by_rank.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = ranked.withColumn("_before", running - F.col("n_words")).filter(
-        (F.col("max_length") <= 0) | (F.col("_before") < F.col("max_length"))
-    )
-    picked = kept.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_s"), F.first("style").alias("_style")
-    )
-    lines = F.transform("_s", lambda s: s["sentence"])
+    # (request, term). A sentence without terms stands under the empty term.
+    at = F.struct("pos", word_count(F.col("sentence")).alias("n_words"))
+    sentences = sentence_table(docs).select("request_id", at.alias("at"), "terms").repartition("request_id")
+    found = sentences.select("request_id", "at", F.explode_outer("terms").alias("term"))
+    per_term = found.groupBy("request_id", F.coalesce("term", F.lit("")).alias("term")).agg(F.collect_list("at").alias("positions"))
+    weights = _weights(per_term.withColumn("tf", F.size("positions")), corpus, extra=("positions",))
+    weights = weights.select("request_id", F.when(F.col("term") == "", 0).otherwise(F.col("weight")).alias("weight"), F.explode("positions").alias("at"))
+    scores = weights.groupBy("request_id", "at").agg(F.sum("weight").alias("score"))
+    ranked = scores.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "at.pos", "at.n_words"))).alias("_r"))
+    # the chosen sentences are the first ones of the ranking: one pass counts them
+    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).alias("n"))
+    taken = F.aggregate(
+        "_r", start,
+        lambda a, r: F.struct((a["words"] + r["n_words"]).alias("words"), (a["n"] + F.when(a["words"] < F.col("max_length"), 1).otherwise(0)).alias("n")),
+        lambda a: a["n"])
+    positions = F.transform(F.slice("_r", 1, taken), lambda r: r["pos"])
+    picked = docs.join(ranked, "request_id").withColumn("_p", F.when(F.col("max_length") > 0, positions))
+    # a choice is at most max_length positions long, so looking up each sentence in it stays cheap
+    lines = F.filter(_sentences(F.col("content")), lambda s: s != "")
+    lines = F.filter(lines, lambda s, i: F.col("_p").isNull() | F.array_contains("_p", i))
     text = F.when(
-        F.col("_style") == "bullet_points", F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n")
+        F.col("style") == "bullet_points", F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n")
     ).otherwise(F.array_join(lines, " "))
     return picked.select("request_id", text.alias("summary_text"))
 

@@ -86,10 +86,9 @@ def extract_pages(
     ``pages`` needs ``url`` and ``html`` (``content_type`` / ``status_code``
     optional); ``keep`` lists key columns to carry through. ``selector`` is a
     CSS selector for all rows, a column holding one per row, or None for the
-    default main-content strategy. Parsing is CPU-bound per page: the table
-    loaders already spread a scan with fewer splits than cores; ``spread=True``
-    does the same here for a raw scan built elsewhere (never for a plan with
-    a shuffle, whose partitions are spread already).
+    default main-content strategy. Parsing is CPU-bound per page: ``spread=True``
+    spreads a scan with fewer splits than cores (never ask for it on a plan
+    with a shuffle, whose partitions are spread already).
     """
     ship_package(pages.sparkSession)
     keep = [c for c in (keep or []) if c not in ("url", "html")]

@@ -113,15 +113,6 @@ def summary_response(requests: DataFrame, completions: DataFrame) -> DataFrame:
     return _respond(r.join(c, "request_id", "left"), r.columns)
 
 
-def respond_inline(completed: DataFrame) -> DataFrame:
-    """S5 for rows that already carry their completion columns (``text, model,
-    prompt_tokens, completion_tokens, total_tokens, error``), e.g. from a
-    column-expression completer: no join."""
-    r = completed.withColumnsRenamed({"text": "_text", "model": "_model", "error": "_err"})
-    keep = [c for c in completed.columns if c not in ("text", "model", "error", "prompt_tokens", "completion_tokens", "total_tokens")]
-    return _respond(r, keep)
-
-
 def _respond(j: DataFrame, keep: list[str]) -> DataFrame:
     err = F.coalesce(F.col("_err"), F.lit("no completion"))
     ok = F.col("_text").isNotNull() & F.col("_err").isNull()

@@ -1,9 +1,8 @@
 """Flagship plan: pages -> main text -> content gate -> summary request -> summary.
 
-Single pass and narrow: scan, the Python extraction, then column expressions
-only (gate, prompt, the lead completer and the response are all computed on
-the same row), so the extraction runs once and nothing shuffles besides the
-round-robin spread of a scan with fewer splits than cores.
+Pages are parsed once: the requests (clean text, gate) are cut from their
+lineage into the shared folder, as the extractive summary reads them in
+several branches and parsing is the dearest step.
 """
 
 from __future__ import annotations
@@ -12,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import validate_content, word_count
-from ..operators.completers import lead_columns
+from ..operators.completers import complete, extractive_completer
 from ..operators.pages import extract_pages
-from ..operators.summarize import respond_inline, summary_prompt
+from ..operators.summarize import request_defaults, summary_prompt, summary_response
+from ..session import reliable_checkpoint
 
 
 def summarize_pages(pages: DataFrame, max_length: int = 50, style: str = "concise") -> DataFrame:
@@ -29,10 +29,10 @@ def summarize_pages(pages: DataFrame, max_length: int = 50, style: str = "concis
         F.lit("").alias("language"),
     ).withColumn("n_words", word_count(F.col("content")))
     req = req.withColumn("validation_error", validate_content(F.col("content"), F.col("n_words"))).drop("n_words")
-    resp = respond_inline(lead_columns(summary_prompt(req)))
-    gated = F.col("validation_error").isNull()
-    return resp.select(
-        "request_id", "url", "title",
-        *[F.when(gated, F.col(c)).alias(c) for c in ("summary", "original_size", "summary_size", "model", "tokens_used")],
-        F.coalesce(F.col("validation_error"), F.col("error")).alias("error"),
-    )
+    req = reliable_checkpoint(req)
+    valid = req.filter(F.col("validation_error").isNull()).drop("validation_error")
+    resp = summary_response(valid, complete(summary_prompt(request_defaults(valid)), extractive_completer()))
+    out = ("summary", "original_size", "summary_size", "model", "tokens_used")
+    done = resp.select("request_id", "url", "title", *out, "error")
+    rejected = req.filter(F.col("validation_error").isNotNull())
+    return done.unionByName(rejected.select("request_id", "url", "title", F.col("validation_error").alias("error")), allowMissingColumns=True)

@@ -8,6 +8,7 @@ given as scalar columns (joined text, counts) so results compare by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,15 @@ from ..operators import metrics as M
 from ..operators import pages as P
 from ..operators import summarize as S
 from ..sources import derived as D
-from ..sources.tables import load_conversations, load_documents, load_pages
+from ..sources import tables
 from .answer import answer_requests, call_outcomes, decide, default_registry, library_registry
 from .stream_queries import stream_answer_q, stream_extract_q, stream_sessions_q
 
+# The given tables are one row group each, so the queries ask for spread scans.
+load_pages = partial(tables.load_pages, spread=True)
+load_documents = partial(tables.load_documents, spread=True)
+load_conversations = partial(tables.load_conversations, spread=True)
+
 MODEL = "summary-model"
 AGENT_MODEL = "agent-model"
 

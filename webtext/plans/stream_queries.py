@@ -50,8 +50,8 @@ def stream_sessions_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_answer_q(spark: SparkSession, sf: str) -> DataFrame:
-    pages = load_pages(spark, sf)
-    registry, ctx = library_registry(), {"pages": pages, "documents": load_documents(spark, sf)}
+    pages = load_pages(spark, sf, spread=True)
+    registry, ctx = library_registry(), {"pages": pages, "documents": load_documents(spark, sf, spread=True)}
     base = scratch_path(spark, "stream-answer")
     turns = session_turns_batch(base + "/exits")
 

@@ -15,13 +15,14 @@ TABLES = (
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread_scan(df) if spread else df
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that arrives in fewer splits than cores.
+    """Give every core a share of a scan that arrives in fewer splits than cores;
+    only where the caller asks for it (``spread=True``).
 
     The work on these tables is CPU-heavy per row (HTML parsing, regex over
     whole texts), so a small table stored as one row group would otherwise run
@@ -35,10 +36,10 @@ def spread_scan(df: DataFrame) -> DataFrame:
     return df
 
 
-def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def load_pages(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """One stored response per row. ``status_code`` / ``content_type`` pass
     through when the snapshot has them, else NULL (the HTML path is taken)."""
-    return page_columns(read_table(spark, sf_dir, "pages"))
+    return page_columns(read_table(spark, sf_dir, "pages", spread))
 
 
 def page_columns(df: DataFrame) -> DataFrame:
@@ -53,9 +54,9 @@ def page_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+def load_documents(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return read_table(spark, sf_dir, "documents", spread).select("doc_id", "text", "lang", "source", "n_chars")
 
 
-def load_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+def load_conversations(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return read_table(spark, sf_dir, "conversations", spread).select("conv_id", "turn", "role", "text")

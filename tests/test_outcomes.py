@@ -71,3 +71,56 @@ def test_checkpoints_need_shared_storage():
 
     with pytest.raises(ValueError):
         checkpoint_dir(Session())
+
+
+def test_failed_decisions_are_errors(spark):
+    """No answer, an empty answer and a transport error are errors, not the fallback; a bad answer is the fallback."""
+    from webtext.plans.answer import decide
+
+    req = spark.createDataFrame([(i, f"u{i}") for i in range(5)], "request_id long, user_text string")
+    answers = spark.createDataFrame(
+        [(0, 1, '{"message":"m"}', None), (1, 1, "not json", None), (2, 0, None, None), (3, 1, None, "boom")],
+        "request_id long, n_choices int, content string, error string")
+    answers = answers.selectExpr("*", "null AS model", "0 AS prompt_tokens", "0 AS completion_tokens", "0 AS total_tokens")
+    got = {r.request_id: (r.error, r.parse_ok, r.route) for r in decide(req, answers).collect()}
+    assert got == {
+        0: (None, True, "explain"), 1: (None, False, "explain"),
+        2: ("agent processing failed: no response choices returned", None, None),
+        3: ("agent processing failed: failed to create chat completion: boom", None, None),
+        4: ("agent processing failed: no completion", None, None)}
+    texts = spark.createDataFrame([(0, '{"message":"m"}'), (1, None)], "request_id long, decision_text string")
+    got = {r.request_id: r.error for r in decide(req.where("request_id < 2"), texts).collect()}
+    assert got == {0: None, 1: "agent processing failed: no response choices returned"}
+
+
+def test_document_tool(spark):
+    from webtext.plans.answer import read_document_handler
+
+    docs = spark.createDataFrame([(1, "one", "s", 3), (1, "longer", "s", 6), (2, None, None, 0)], "doc_id long, text string, source string, n_chars long")
+    rows = [(1, {"doc_id": ("number", "1"), "with_source": ("boolean", "true")}), (2, {"doc_id": ("number", "1"), "min_chars": ("number", "6.5")}),
+            (3, {"doc_id": ("number", "2")}), (4, {"doc_id": ("number", "1.5")}), (5, {"doc_id": ("number", "9")})]
+    calls = spark.createDataFrame([(i, 1, a) for i, a in rows], "request_id long, call_idx int, arguments map<string,struct<kind:string,text:string>>")
+    got = {r.request_id: (r.parts, r.is_error) for r in read_document_handler(calls, {"documents": docs}).collect()}
+    none = (["Error reading document: no such document"], True)
+    assert got == {1: (["Document 1 from s", "longer"], False), 2: (["Error reading document: document too short"], True), 3: (["Document 2", ""], False), 4: none, 5: none}
+
+
+def test_session_epochs(spark, tmp_path):
+    """A later epoch sees the exits of earlier ones; a replayed epoch gives the same rows."""
+    from webtext.streaming.streams import session_turns_batch
+
+    schema, turns = "conv_id long, turn long, text string", session_turns_batch(str(tmp_path / "exits"))
+    one = spark.createDataFrame([(1, 0, "a"), (1, 3, " Exit "), (1, 4, "after"), (2, 0, " \t"), (2, 1, "b")], schema)
+    two = spark.createDataFrame([(1, 1, "late but before"), (1, 5, "late after"), (2, 2, "quit"), (2, 3, "c")], schema)
+    rows = lambda df: sorted((r.conv_id, r.turn, r.text) for r in df.collect())
+    assert rows(turns(one, 0)) == [(1, 0, "a"), (2, 1, "b")]
+    assert rows(turns(two, 1)) == [(1, 1, "late but before")]
+    assert rows(turns(one, 0)) == [(1, 0, "a"), (2, 1, "b")]
+
+
+def test_terms_outside_an_external_corpus_count(spark):
+    from webtext.operators.completers import term_weights
+
+    schema = "request_id long, content string"
+    own, corpus = spark.createDataFrame([(1, "red fox")], schema), spark.createDataFrame([(7, "red"), (8, "red")], schema)
+    assert {r.term: r.weight for r in term_weights(own, corpus).collect()} == {"red": 500000, "fox": 1000000}

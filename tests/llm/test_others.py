@@ -190,6 +190,29 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+def test_packing_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    spaces = "\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+    texts = [" " * 1_000_001 + "x", "\n" * 1_200_000, "a" + spaces * 50_000 + " b", *[f"a{' ' * n}b" for n in (32767, 32768, 32769)], "a b " * 20_000]
+    want = sorted((i, len(ids), zlib.crc32(np.array(ids[s:s + n], "<u4").tobytes())) for i, t in enumerate(texts) for ids in [tokenizer.encode(t, add_special_tokens=False).ids + [1]] for s, n in packing.cuts(len(ids), 2048, 2048))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((p.doc_id, p.doc_tokens, p.ids_crc32) for p in packing.pack(docs, path).collect()) == want
+
+
+def test_quick_encoder_splits_like_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.load_encoder(path)
+    chars = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for s in range(0, len(chars), 256):
+        text = "".join(f"the{c}the 1{c}1 !{c}! {c}\n" for c in chars[s:s + 256])
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_sequence_ids(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [(i, sentence(random.Random(i), "en", 200 * i), None, None, None, None, None) for i in range(1, 9)]

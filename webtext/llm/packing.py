@@ -22,6 +22,7 @@ import functools
 import heapq
 import json
 import math
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -37,17 +38,30 @@ END_ID, CAPACITY = 1, 2048
 #: The word pattern of byte-level BPE and its 188 bytes that stand for themselves.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: tiktoken's pattern gives up within a run of about a million white-space characters; runs this long go to tokenizers.
+LONG_RUN = 1 << 15
+LONG_SPACE = re.compile(rf"\s{{{LONG_RUN}}}")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+@functools.lru_cache(maxsize=4)
+def load_tokenizer(path: str) -> Callable[[str], list[int]]:
+    """text -> ids by tokenizers itself, special strings taken as text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @functools.lru_cache(maxsize=4)
 def load_encoder(path: str) -> Callable[[str], list[int]]:
     """text -> ids of the tokenizer file at ``path``, special strings taken as text.
 
     A byte-level BPE file whose ids follow its merge order is run by tiktoken
-    on the same vocabulary (equal ids, four times the speed); any other file
-    by tokenizers itself.
+    on the same vocabulary (equal ids, four times the speed), except texts with
+    a long run of white space; these and any other file are run by tokenizers.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -61,12 +75,9 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
         if all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges):
             import tiktoken
 
-            return tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            quick = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            return lambda text: load_tokenizer(path)(text) if len(text) >= LONG_RUN and LONG_SPACE.search(text) else quick(text)
+    return load_tokenizer(path)
 
 
 def document_ids(encode: Callable[[str], list[int]], text: str | None, end_id: int = END_ID) -> np.ndarray:

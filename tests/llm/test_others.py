@@ -157,6 +157,34 @@ def test_nearest(spark):
     assert nearest.nearest(vectors.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_nearest_repeated_rows(spark):
+    v, rng = [1.0, 2.0, 2.0], np.random.default_rng(13)
+    far = [(i, x.tolist()) for i, x in enumerate(rng.standard_normal((30, 3)) / 100, 100)]
+    rows = [(20, v)] * 25 + [(21, v)] + [(5, v)] * 3 + far
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(nearest.nearest(vectors, lambda i: i == 20, 20).collect(), key=lambda r: r["rank"])
+    own = {i: np.array(x, np.float32).astype(float) for i, x in rows if i != 20}
+    want = sorted((-float(x @ own[21]), i) for i, x in own.items())[:20]
+    assert [(r["rank"], r.vec_id) for r in got] == [(k, i) for k, (_, i) in enumerate(want, 1)]
+    assert [r.score for r in got] == pytest.approx([-s for s, _ in want])
+
+
+def vectors_of_one_id(spark, n):
+    """Id 20 with the vectors (1, -1) to (n, -1), and 30, 31, 32 with (1, 0), (1, 1), (1, 2)."""
+    many = spark.range(n).selectExpr("20L as vec_id", "array(cast(1 + id as float), cast(-1 as float)) as embedding")
+    return many.union(spark.range(3).selectExpr("30 + id as vec_id", "array(cast(1 as float), cast(id as float)) as embedding"))
+
+
+def test_nearest_id_of_more_vectors_than_a_block(spark):
+    got = nearest.nearest(vectors_of_one_id(spark, 70000), lambda i: i == 31, 5).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(k, 20, 70000.0 - k) for k in range(1, 6)]
+
+
+def test_nearest_own_rows_are_no_candidates(spark):
+    got = nearest.nearest(vectors_of_one_id(spark, 1000), lambda i: i == 20, 3).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 30, 1000.0), (2, 30, 999.0), (3, 31, 999.0)]
+
+
 def test_differencing_and_windows():
     rng = np.random.default_rng(11)
     sizes = rng.integers(1, 2048, 400)

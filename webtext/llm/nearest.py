@@ -11,10 +11,11 @@ candidates; widening ends when a block has ``FRACTION`` of its vectors, and
 product in double precision. The largest inner product becomes the smallest
 distance by one more coordinate that gives all vectors of a block equal length.
 
-Of identical vectors only the k + 1 smallest ids can appear in an answer, so
-the others are left out before the blocks are made: exact, and a vector that
-makes up a third of the rows does not fill the blocks. Queries and vectors
-meet in blocks of fixed size; the answers of the blocks are merged by rank.
+Equal rows count once. Of identical vectors only the k + 1 smallest ids can
+appear in an answer, so the others are left out before the blocks are made:
+exact, and a vector that makes up a third of the rows does not fill the blocks.
+A query's own rows are not among its candidates. Queries and vectors meet in
+blocks of fixed size; the answers of the blocks are merged by rank.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and rows without an id, take no part; a query is compared with
@@ -61,10 +62,12 @@ class ProjectionBlock:
         inside = (self.rank - low.astype(np.uint16)[:, None]) < (high - low).astype(np.uint16)[:, None]
         return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
 
-    def search(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """Rows of the candidates of every query."""
+    def search(self, queries: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """Rows of the candidates of every query, which have other ids than the query's ``own``."""
         n = len(self.vectors)
-        need, least = min(n, max(FLOOR * k, math.ceil(FRACTION * n))), math.ceil(THRESHOLD * PROJECTIONS)
+        enough, least = max(FLOOR * k, math.ceil(FRACTION * n)), math.ceil(THRESHOLD * PROJECTIONS)
+        order = np.sort(ids)
+        need = np.minimum(enough, n - (np.searchsorted(order, own, "right") - np.searchsorted(order, own)))
         scaled = queries * (self.reach / np.sqrt((queries**2).sum(axis=1)))[:, None]
         centre = scaled @ self.lines[:-1]
         found: list = [None] * len(queries)
@@ -74,7 +77,8 @@ class ProjectionBlock:
             high = np.stack([np.searchsorted(a, c + width, "right") for a, c in zip(self.sorted, centre[active].T, strict=True)], axis=1)
             for i, q in enumerate(active):
                 near = np.flatnonzero(self.collisions(low[i], high[i]) >= least)
-                if len(near) >= need:
+                near = near[ids[near] != own[q]]
+                if len(near) >= need[q]:
                     found[q] = near
             active = np.array([q for q in active if found[q] is None], np.int64)
             width *= GROWTH
@@ -90,16 +94,15 @@ def search_block(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
     if not 0 < len(vectors) < 2**16 or not len(queries):
         assert len(vectors) < 2**16, "a block's places are 16-bit numbers"
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-    ids, asked, data = vectors["vec_id"].to_numpy(np.int64), _rows(queries["vec"]), _rows(vectors["vec"])
+    ids, owns = vectors["vec_id"].to_numpy(np.int64), queries["vec_id"].to_numpy(np.int64)
+    asked, data = _rows(queries["vec"]), _rows(vectors["vec"])
     block, out = ProjectionBlock(data), []
     for start in range(0, len(asked), 1024):
-        part = asked[start:start + 1024]
-        for q, near in enumerate(block.search(part, k + 1)):
-            own = queries["vec_id"].iat[start + q]
-            near = near[ids[near] != own]
+        part, own = asked[start:start + 1024], owns[start:start + 1024]
+        for q, near in enumerate(block.search(part, k + 1, ids, own)):
             score = (data[near] * part[q]).sum(axis=1)
             best = np.lexsort((ids[near], -score))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near[best]], "score": score[best]}))
+            out.append(pd.DataFrame({"query_id": own[q], "vec_id": ids[near[best]], "score": score[best]}))
     return pd.concat(out)
 
 
@@ -113,15 +116,15 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every vector whose id meets ``query_filter``."""
     ship(vectors)
-    rows = usable(vectors, id_col, vec_col)
+    rows = usable(vectors, id_col, vec_col).distinct()
     same = Window.partitionBy("vec").orderBy("vec_id")
     kept = materialise(rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
-    asked = materialise(rows.where(query_filter(F.col("vec_id"))).distinct(), "vector-queries")
+    asked = materialise(rows.where(query_filter(F.col("vec_id"))), "vector-queries")
     n_blocks, n_asked = (max(1, math.ceil(df.count() / n)) for df, n in ((kept, block_rows), (asked, query_rows)))
 
     def deal(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         """Each row in its own block, once for every block of the other side."""
-        dealt = df.withColumn("dim", F.size("vec")).withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own)))
+        dealt = df.withColumn("dim", F.size("vec")).withColumn(own, F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n_own)))
         return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).withColumn(other, F.col(other).cast("long"))
 
     a = deal(kept, "block", n_blocks, "ask", n_asked).groupBy("dim", "block", "ask")

@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 from webtext.llm import exact_dedup, language_id, packing, simhash, suffix_dedup
 from webtext.llm.common import materialise, table
 
-MIN_LANGUAGE_SCORE = 0.2  # two even choices, of family and of language, score 0.25: among few languages only texts without a letter go
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language stays unclear, go."""
+    """Documents without a letter (``und``) go; every other text has a language, however unclear, and stays."""
     model = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
-    return language_id.keep_known(docs, model, MIN_LANGUAGE_SCORE)
+    return language_id.keep_known(docs, model)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

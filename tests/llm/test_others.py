@@ -80,6 +80,16 @@ def test_language_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() == 241
 
 
+def test_language_stage_drops_only_texts_without_a_letter(spark):
+    noise = random.Random(14)
+    rows = labelled(120) + [(900 + i, "".join(noise.choices("qxzjкщ日あ", k=30)), None, None, None, None, None) for i in range(20)]
+    docs = frame(spark, rows + [(990, "12 ...", None, None, None, None, None), (991, None, None, None, None, None, None)])
+    model = language_id.learn(docs, per_language=40)
+    scores = [r.score for r in language_id.predict_language(docs, model).collect() if r.lang_pred != "und"]
+    assert len(scores) == len(rows) and min(scores) >= 0.25
+    assert {r.doc_id for r in language_id.keep_known(docs, model).collect()} == {r[0] for r in rows}
+
+
 def test_language_without_labels(spark):
     docs = frame(spark, [(1, "text", None, None, None, None, None)])
     assert language_id.learn(docs) is None

@@ -10,7 +10,9 @@ loss by dual coordinate descent on at most ``per_language`` labelled texts of
 each language, drawn by a hash of the id; learning uses text and label only.
 
 The score is the product of the shares of the votes, each vote weighted by the
-logistic function of its margin: 1 for a sure choice, near 1 / classes for none.
+logistic function of its margin: 1 for a sure choice of both levels. The best
+share of a level is never less than 0.5 (the mean share of its labels),
+so no text with a letter scores less than 0.25, letter noise included.
 
 Defined results: a null text, or one without a letter (Unicode class L), is
 ``und`` with score 0; so is every text if nothing was learned. Very long texts
@@ -197,8 +199,8 @@ def predict_language(docs: DataFrame, model: Hierarchy | None, text_col: str = "
     return out.select("row.*", F.col("guess.label").alias(label_name), F.col("guess.score").alias(score_name))
 
 
-def keep_known(docs: DataFrame, model: Hierarchy | None, min_score: float, text_col: str = "text") -> DataFrame:
-    """The documents whose language is known with at least ``min_score``."""
+def keep_known(docs: DataFrame, model: Hierarchy | None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The documents that are not ``und``; a ``min_score`` above 0.25 also leaves out unclear ones."""
     guess = predict_language(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text")), model)
     return guess.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
 

@@ -282,3 +282,125 @@ def test_pipeline(spark, tmp_path):
     assert kept["exact_dedup"] == kept["language_id"] - {0}
     assert len(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()) == len(kept["suffix_array_dedup"])
     assert hashlib.sha256(b"").hexdigest()
+
+
+def without_repeats(docs, length):
+    """(id, text) in order of id -> text without the strings of ``length`` bytes that start earlier, whole characters only."""
+    seen, out = set(), {}
+    for i, text in sorted(docs.items()):
+        b = text.encode()
+        mark = [False] * len(b)
+        for s in range(len(b) - length + 1):
+            if b[s:s + length] in seen:
+                mark[s:s + length] = [True] * length
+            seen.add(b[s:s + length])
+        kept, s = bytearray(), 0
+        while s < len(b):
+            e = next((k for k in range(s, len(b)) if mark[k] != mark[s]), len(b))
+            if mark[s]:  # a range is narrowed to whole characters
+                first = next((k for k in range(s, e) if b[k] & 0xC0 != 0x80), e)
+                last = next((k for k in range(e, first, -1) if k == len(b) or b[k] & 0xC0 != 0x80), first)
+                kept += b[s:first] + b[last:e]
+            else:
+                kept += b[s:e]
+            s = e
+        out[i] = kept.decode()
+    return out
+
+
+def test_pipeline_rows_equal_plain_python(spark, tmp_path):
+    import unicodedata
+
+    from test_dedup import brute_components, brute_fingerprint
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    rows = documents()
+    base = sentence(rng, "en", 150)
+    rows += [(200, base, "en", "s", 1, "r", 5), (201, base + ".", "en", "s", 1, "r", 5), (202, base.replace(" ", "  "), "de", "s", 1, "r", 5)]
+    rows += [(203, sentence(rng, "fr", 30) + " é" * 90 + base[:400] + "ü" * 200, "fr", "s", 1, "r", 5), (204, sentence(rng, "de", 3000), "de", "s", 1, "r", 5)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+
+    known = [r for r in rows if any(unicodedata.category(c)[0] == "L" for c in r[1] or "")]
+    largest = {}
+    for r in known:
+        largest[r[1]] = max(largest.get(r[1], -1), -1 if r[0] is None else r[0])
+    texts = sorted((i, t) for t, i in largest.items())
+    assert len({i for i, _ in texts}) == len(texts) and texts[0][0] >= 0
+    component = brute_components([brute_fingerprint(t, 4) for _, t in texts], 4)
+    least = {}
+    for (i, t), c in zip(texts, component, strict=True):
+        least.setdefault(c, (i, t))
+    near = dict(least.values())
+    cut = without_repeats(near, 100)
+    assert len(rows) > len(known) > len(texts) > len(near) and any(cut[i] != t for i, t in near.items())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    ids = {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in cut.items()}
+    want = sorted((i, s, n, zlib.crc32(np.array(x[s:s + n], "<u4").tobytes()), len(x)) for i, x in ids.items() for s, n in packing.cuts(len(x), 2048, 2048))
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((p.doc_id, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in got) == want
+    sequences = {}
+    for p in sorted(got, key=lambda p: p.offset):
+        assert p.offset == sequences.get(p.sequence_id, 0)
+        sequences[p.sequence_id] = p.offset + p.length
+    assert max(sequences.values()) <= 2048
+
+
+def test_queries_without_reference_sql(spark, tmp_path):
+    from test_dedup import brute_components, brute_fingerprint, brute_removed
+    from tokenizers import Tokenizer
+
+    from webtext.llm.queries import QUERIES
+
+    rows, rng = [r for r in documents() if len(r[1] or "") < 4000], np.random.default_rng(16)
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    x = rng.standard_normal((60, 8)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    docs = sorted((str(r[0]), r[1] or "") for r in rows)
+
+    def answer(name, columns):
+        out = QUERIES[name](spark, str(tmp_path))
+        assert out.columns == columns.split()
+        return out.collect()
+
+    got = answer("op3_language_id", "doc_id held_out lang_pred score")
+    assert sorted((str(g.doc_id), g.held_out, g.lang_pred) for g in got) == sorted(
+        (str(r[0]), r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 1, "en" if any(c.isalpha() for c in r[1] or "") else "und") for r in rows)
+
+    spans = "doc_id n_bytes n_removed n_spans kept_sha256"
+    got = answer("op5_substring_dedup", spans)
+    assert sorted((str(g.doc_id), g.n_bytes) for g in got) == sorted((d, len(t.encode())) for d, t in docs) and any(g.n_removed for g in got)
+    assert all(0 <= g.n_removed <= g.n_bytes and (g.n_spans > 0) == (g.n_removed > 0) and len(g.kept_sha256) == 64 for g in got)
+    removed = brute_removed(rows, 100)
+    got = answer("op9_suffix_array_dedup", spans)
+    assert sorted(map(str, [(str(g.doc_id), g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got])) == sorted(
+        map(str, [(str(r[0]), *w[:3], hashlib.sha256(w[3]).hexdigest()) for r in rows for w in [removed[(r[0], r[1] or "")]]]))
+
+    m = nbest_pieces.load_model(MODEL)
+    got = answer("op6_sentencepiece", "doc_id rank score n_pieces ids_crc32 text_sha256")
+    best = sorted((str(r[0]), k, zlib.crc32(np.array(i, "<u4").tobytes())) for r in rows for k, (_, i) in enumerate(m.encode(r[1] or "", 3), 1))
+    assert sorted((str(g.doc_id), g["rank"], g.ids_crc32) for g in got) == best
+
+    fps = [brute_fingerprint(r[1], 4) for r in rows]
+    least = {}
+    component = brute_components(fps, 4)
+    for r, c in zip(rows, component, strict=True):
+        if r[0] is not None:
+            least[c] = min(least.get(c, r[0]), r[0])
+    got = answer("op7_simhash_near_dedup", "doc_id fingerprint component_id")
+    assert sorted((str(g.doc_id), g.fingerprint, g.component_id) for g in got) == sorted((str(r[0]), f"{f:016x}", least[c]) for r, f, c in zip(rows, fps, component, strict=True))
+
+    score = x.astype(float) @ x.astype(float).T
+    got = answer("op8_approximate_nearest_neighbours", "query_id rank vec_id score")
+    want = [(q, k, i) for q in (0, 20, 40) for k, i in enumerate([i for i in np.argsort(-score[q], kind="stable") if i != q][:20], 1)]
+    assert sorted((g.query_id, g["rank"], g.vec_id) for g in got) == want
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    got = answer("op10_packing", "doc_id start length ids_crc32 doc_tokens sequence_id offset")
+    assert sorted((str(g.doc_id), g.start, g.length, g.ids_crc32) for g in got) == sorted(
+        (d, s, n, zlib.crc32(np.array(i[s:s + n], "<u4").tobytes())) for d, t in docs for i in [tokenizer.encode(t, add_special_tokens=False).ids + [1]] for s, n in packing.cuts(len(i), 2048, 2048))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from webtext.llm.common import materialise, ship, table
 from webtext.llm.packing import PLAIN_BYTES, load_encoder
 
-BLOCK_BYTES, BLOCK_DOCS = 1 << 23, 1 << 14
+BLOCK_BYTES, BLOCK_DOCS = 1 << 21, 1 << 14
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 BLOCKS = "block long, doc_ids array<long>, " + ", ".join(f"{c} array<long>" for c in FIGURES) + ", groups_sha256 array<string>, pairs binary, numbers binary, links binary"
 RESULT = "doc_id long, " + ", ".join(f"{c} long" for c in FIGURES) + ", n_best long, count_sum long, groups_sha256 string"

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from webtext.llm.common import keep_rows, materialise, ship, table
 
 SLOTS, MAX_KICKS, SALTS = 4, 500, 16
-LEAST = -(2**63)
 
-INDEX_SCHEMA = "shard long, n_shards long, fingerprints binary, owners binary, keys binary, keep_rows array<long>, keep_ids array<long>, counts array<long>"
+#: keep_ids holds 0 for a null id, which nameless marks: pandas would round ids beside a null.
+INDEX_SCHEMA = "shard long, n_shards long, fingerprints binary, owners binary, keys binary, keep_rows array<long>, keep_ids array<long>, nameless array<boolean>, counts array<long>"
 
 
 class CuckooIndex:
@@ -134,48 +134,60 @@ def digests_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest")), "digests")
 
 
-def _sharded(digests: DataFrame, n_shards: int) -> DataFrame:
-    """Pre-aggregated rows (digest, n, keep_row, keep_id, shard); at most SALTS for a digest."""
+def _salted(digests: DataFrame) -> DataFrame:
+    """Pre-aggregated rows (digest, n, keep_row, keep_id, nameless); at most SALTS for a digest."""
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
-    order = F.coalesce("id", F.lit(LEAST))
-    return digests.groupBy("digest", salt.alias("salt")).agg(F.count("*").alias("n"), F.max("id").alias("keep_id"), F.max_by("row", order).alias("keep_row")).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(n_shards)))
+    named = F.struct(F.col("id").isNotNull().alias("named"), F.coalesce("id", F.lit(0)).alias("id"), F.col("row").alias("row"))
+    best = digests.groupBy("digest", salt.alias("salt")).agg(F.count("*").alias("n"), F.max(named).alias("best"))
+    return best.select("digest", "n", F.col("best.row").alias("keep_row"), F.col("best.id").alias("keep_id"), (~F.col("best.named")).alias("nameless"))
 
 
-def _load(state: pd.DataFrame) -> tuple[CuckooIndex, np.ndarray, np.ndarray, np.ndarray]:
+def _sharded(batch: DataFrame, n_shards: int) -> DataFrame:
+    return batch.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(n_shards)))
+
+
+Shard = tuple[CuckooIndex, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _load(state: pd.DataFrame) -> Shard:
+    """(index, keep_rows, keep_ids, nameless, counts) of a shard."""
     if not len(state):
-        return CuckooIndex(), np.empty(0, np.int64), np.empty(0, object), np.empty(0, np.int64)
+        return CuckooIndex(), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
     r = state.iloc[0]
     index = CuckooIndex(np.frombuffer(r["keys"], np.uint64).reshape(-1, 4), np.frombuffer(r["fingerprints"], np.uint16).reshape(-1, SLOTS).copy(), np.frombuffer(r["owners"], np.int32).reshape(-1, SLOTS).copy())
-    return index, np.array(r["keep_rows"], np.int64), np.array(list(r["keep_ids"]), object), np.array(r["counts"], np.int64)
+    return index, np.array(r["keep_rows"], np.int64), np.array(r["keep_ids"], np.int64), np.array(r["nameless"], bool), np.array(r["counts"], np.int64)
 
 
-def _store(shard: int, n_shards: int, index: CuckooIndex, rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+def _store(shard: int, n_shards: int, index: CuckooIndex, rows: np.ndarray, ids: np.ndarray, nameless: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({
         "shard": [shard], "n_shards": [n_shards], "fingerprints": [index.fingerprints.tobytes()], "owners": [index.owners.tobytes()], "keys": [np.ascontiguousarray(index.keys).tobytes()],
-        "keep_rows": [rows.tolist()], "keep_ids": [[None if x is None or x != x else int(x) for x in ids]], "counts": [counts.tolist()],
+        "keep_rows": [rows], "keep_ids": [ids], "nameless": [nameless], "counts": [counts],
     })
 
 
-def _order(ids: np.ndarray) -> np.ndarray:
-    return np.array([LEAST if x is None or x != x else int(x) for x in ids], np.int64)
-
-
 def _inserted(state: pd.DataFrame, batch: pd.DataFrame, shard: int, n_shards: int) -> pd.DataFrame:
-    index, rows, ids, counts = _load(state)
+    index, rows, ids, nameless, counts = _load(state)
     if len(batch):
         at = index.insert(_words(batch["digest"]))
         grown = len(index.keys) - len(rows)
-        rows, ids, counts = np.concatenate([rows, np.full(grown, -1)]), np.concatenate([ids, np.full(grown, None)]), np.concatenate([counts, np.zeros(grown, np.int64)])
+        rows, ids, nameless, counts = (np.concatenate([x, np.full(grown, fill, x.dtype)]) for x, fill in ((rows, -1), (ids, 0), (nameless, True), (counts, 0)))
         np.add.at(counts, at, batch["n"].to_numpy(np.int64))
-        # one keeper per key: the largest id among the stored one and the batch
-        new_ids = np.array(batch["keep_id"].astype(object).where(batch["keep_id"].notna(), None), object)
-        value, new_rows = _order(new_ids), batch["keep_row"].to_numpy(np.int64)
-        best = _order(ids)
-        for k in np.lexsort((value, at)):
+        # one keeper per key: the largest id among the stored one and the batch, a null id last
+        new_rows, new_ids, new_nameless = (batch[c].to_numpy() for c in ("keep_row", "keep_id", "nameless"))
+        for k in np.lexsort((new_ids, ~new_nameless, at)):
             i = at[k]
-            if rows[i] < 0 or value[k] > best[i]:
-                rows[i], ids[i], best[i] = new_rows[k], new_ids[k], value[k]
-    return _store(shard, n_shards, index, rows, ids, counts)
+            if rows[i] < 0 or (not new_nameless[k] and (nameless[i] or new_ids[k] > ids[i])):
+                rows[i], ids[i], nameless[i] = new_rows[k], new_ids[k], new_nameless[k]
+    return _store(shard, n_shards, index, rows, ids, nameless, counts)
+
+
+def _built(batch: DataFrame, n_keys: int, keys_per_shard: int) -> DataFrame:
+    n_shards = max(1, math.ceil(n_keys / keys_per_shard))
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _inserted(pd.DataFrame(), rows, key[0], n_shards)
+
+    return materialise(_sharded(batch, n_shards).groupBy("shard").applyInPandas(build, INDEX_SCHEMA), "cuckoo-index")
 
 
 def build_index(digests: DataFrame, keys_per_shard: int = 32768) -> DataFrame:
@@ -185,31 +197,33 @@ def build_index(digests: DataFrame, keys_per_shard: int = 32768) -> DataFrame:
     ``keys_per_shard`` keys at any input size.
     """
     ship(digests)
-    n_shards = max(1, math.ceil(digests.count() / keys_per_shard))
-
-    def build(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        return _inserted(pd.DataFrame(), batch, key[0], n_shards)
+    return _built(_salted(digests), digests.count(), keys_per_shard)
 
-    return materialise(_sharded(digests, n_shards).groupBy("shard").applyInPandas(build, INDEX_SCHEMA), "cuckoo-index")
 
+def update_index(index: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None, keys_per_shard: int = 32768) -> DataFrame:
+    """Insert digests (row, id, digest) into an index, or delete digests (digest) from it.
 
-def update_index(index: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
-    """Insert digests (row, id, digest) into an index, or delete digests (digest) from it."""
+    An insertion that could double the keys of a shard deals all live keys anew to more shards.
+    """
     ship(index)
-    n_shards = index.select("n_shards").first()[0]
-    batch = _sharded(inserted, n_shards) if inserted is not None else deleted.select("digest").distinct().withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(n_shards)))
+    state = index.agg(F.max("n_shards"), F.sum(F.size("counts"))).first()
+    n_shards, n_keys = state[0] or 1, state[1] or 0
     inserting = inserted is not None
+    batch = _salted(inserted) if inserting else deleted.select("digest").distinct()
+    if inserting and n_keys + inserted.count() > 2 * keys_per_shard * n_shards:
+        live = live_digests(index).select("digest", F.col("group_size").alias("n"), "keep_row", F.coalesce("keep_id", F.lit(0)).alias("keep_id"), F.col("keep_id").isNull().alias("nameless"))
+        return _built(live.unionByName(batch), n_keys + inserted.count(), keys_per_shard)
 
     def update(key: tuple, state: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if inserting:
             return _inserted(state, rows, key[0], n_shards)
-        held, keep_rows, ids, counts = _load(state)
+        held, *stored = _load(state)
         if len(rows):
             live = held.delete(_words(rows["digest"]))
-            keep_rows, ids, counts = keep_rows[live], ids[live], counts[live]
-        return _store(key[0], n_shards, held, keep_rows, ids, counts)
+            stored = [x[live] for x in stored]
+        return _store(key[0], n_shards, held, *stored)
 
-    return materialise(index.groupBy("shard").cogroup(batch.groupBy("shard")).applyInPandas(update, INDEX_SCHEMA), "cuckoo-index")
+    return materialise(index.groupBy("shard").cogroup(_sharded(batch, n_shards).groupBy("shard")).applyInPandas(update, INDEX_SCHEMA), "cuckoo-index")
 
 
 def live_digests(index: DataFrame) -> DataFrame:
@@ -221,11 +235,12 @@ def live_digests(index: DataFrame) -> DataFrame:
             for r in part.itertuples():
                 keys = r.keys
                 yield pd.DataFrame({
-                    "digest": [keys[i:i + 32] for i in range(0, len(keys), 32)], "keep_row": np.array(r.keep_rows, np.int64),
-                    "keep_id": pd.array(list(r.keep_ids), "Int64") if len(r.counts) == 0 else pd.array([None if x is None or x != x else int(x) for x in r.keep_ids], "Int64"), "group_size": np.array(r.counts, np.int64),
+                    "digest": [keys[i:i + 32] for i in range(0, len(keys), 32)], "keep_row": np.array(r.keep_rows, np.int64), "group_size": np.array(r.counts, np.int64),
+                    "keep_id": np.array(r.keep_ids, np.int64), "nameless": np.array(r.nameless, bool),
                 })
 
-    return index.select("keys", "keep_rows", "keep_ids", "counts").mapInPandas(rows, "digest binary, keep_row long, keep_id long, group_size long")
+    live = index.select("keys", "keep_rows", "keep_ids", "nameless", "counts").mapInPandas(rows, "digest binary, keep_row long, group_size long, keep_id long, nameless boolean")
+    return live.select("digest", "keep_row", F.when(~F.col("nameless"), F.col("keep_id")).alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,8 +25,10 @@ COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
 def row_batches(b: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, value: np.ndarray, at: np.ndarray, size: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of the documents of a batch (doc_id, tag, ...); doc: their places in the batch."""
-    tags = b.column(1).to_numpy()[doc]
-    salt = np.where(np.isin(key, hot), 1 + tags % SALTS, 0).astype(np.int32)
+    tags, ids = b.column(1).to_numpy()[doc], pc.fill_null(b.column(0), 0).to_numpy()[doc]
+    # by id and text: copies of one text go to different salts
+    mixed = (tags ^ (ids * 0x2545F4914F6CDD1D)) * 0x1B873593
+    salt = np.where(np.isin(key, hot), 1 + (mixed >> 40) % SALTS, 0).astype(np.int32)
     for s in range(0, len(doc), 1 << 16):
         e = slice(s, s + (1 << 16))
         yield pa.RecordBatch.from_arrays([pa.array(key[e]), pa.array(salt[e]), pa.array(value[e]), b.column(0).take(pa.array(doc[e])), pa.array(tags[e]), pa.array(at[e].astype(np.int32)), pa.array(size[e].astype(np.int32))], names=COLUMNS)
@@ -34,7 +36,7 @@ def row_batches(b: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, value: np.n
 
 def frequent_keys(docs: DataFrame, rows_of: Callable[[DataFrame, list[int]], DataFrame]) -> list[int]:
     """At most HOT keys, the most frequent ones of a sample of 1 / SAMPLE of the documents."""
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SAMPLE)) == 0)
     top = rows_of(sample, []).groupBy("key").count().where("count >= 8").orderBy(F.desc("count"), "key").limit(HOT)
     return [r[0] for r in top.select("key").collect()]
 
@@ -44,10 +46,14 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``values`` is the number of different values of the key (1 or more) for
     first occurrences, of which those of lone, unsalted keys are left out.
+    A group larger than memory is read as a stream: of its rows only the first
+    occurrences are held until it ends.
     """
     held: pa.Table | None = None
+    limit = 1 << 16
 
-    def settle(t: pa.Table) -> list[pa.RecordBatch]:
+    def settle(t: pa.Table, ended: bool = True) -> tuple[list[pa.RecordBatch], pa.Table]:
+        """Rows to put out, and the first occurrences of a group that has not ended."""
         key, salt, value = (t.column(c).to_numpy() for c in ("key", "salt", "value"))
         new_key = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
         new_value = new_key.copy()
@@ -59,21 +65,25 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = t.column("doc_id")
         place = [pc.fill_null(doc, 0).to_numpy(), pc.is_null(doc).to_numpy(), t.column("tag").to_numpy(), t.column("at").to_numpy()]
         again = ~new_value & np.logical_and.reduce([x == x[first] for x in place])  # rows that repeat id and text
-        wanted = np.flatnonzero(~again & (~new_value | (kinds > 1) | (salt > 0)))
+        wanted = np.flatnonzero(~again & (~new_value | ((kinds > 1) | (salt > 0)) & ended))
         out = t.take(pa.array(wanted)).append_column("values", pa.array(values[wanted]))
-        return out.combine_chunks().to_batches()
+        return out.combine_chunks().to_batches(), t.take(pa.array(np.flatnonzero(new_value)))
 
     for b in batches:
         held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        if held.num_rows < 1 << 16:
+        if held.num_rows < limit:
             continue
         key, salt = held.column("key").to_numpy(), held.column("salt").to_numpy()
         whole = int(np.argmax((key == key[-1]) & (salt == salt[-1])))  # the last group may go on
         if whole:
-            yield from settle(held.slice(0, whole))
+            yield from settle(held.slice(0, whole))[0]
             held = held.slice(whole).combine_chunks()
+        else:
+            out, held = settle(held, ended=False)
+            yield from out
+        limit = max(1 << 16, 2 * held.num_rows)
     if held is not None and held.num_rows:
-        yield from settle(held)
+        yield from settle(held)[0]
 
 
 def occurrences(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

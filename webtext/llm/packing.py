@@ -189,7 +189,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     small = pieces.where(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    packed = small.groupBy("group").applyInPandas(lambda key, part: windows(key, part)[[c.split()[0] for c in out.split(", ")]], out)
+    # pandas would round ids beside a null one
+    held = small.withColumns({"nameless": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    out += ", nameless boolean"
+    packed = held.groupBy("group").applyInPandas(lambda key, part: windows(key, part)[[c.split()[0] for c in out.split(", ")]], out)
+    packed = packed.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
     full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", 2 * F.col("row") + 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(full.select(packed.columns))
 

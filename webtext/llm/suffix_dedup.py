@@ -212,25 +212,34 @@ def equal_strings(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     return np.cumsum(new) - 1, owner[at], at - (ends - sizes)[owner[at]]
 
 
+#: A document in pandas: an id of 0 and the mark ``nameless`` for a null id, beside which pandas would round others.
+DOC = ["doc_id", "nameless", "tag"]
+
+
+def held_ids(df: DataFrame) -> DataFrame:
+    return df.withColumns({"nameless": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+
+
+def true_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
+
+
 def _orders(part: pd.DataFrame) -> np.ndarray:
     """Rank of each row's document by (doc_id, tag), null ids first."""
-    ids = part["doc_id"]
-    null = ids.isna().to_numpy()
-    value = ids.where(~ids.isna(), 0).astype("int64").to_numpy()
-    tag = part["tag"].to_numpy()
-    order = np.lexsort((tag, value, ~null))
-    changed = np.concatenate([[True], (value[order][1:] != value[order][:-1]) | (tag[order][1:] != tag[order][:-1]) | (null[order][1:] != null[order][:-1])])
+    value, nameless, tag = (part[c].to_numpy() for c in DOC)
+    order = np.lexsort((tag, value, ~nameless))
+    changed = np.concatenate([[True], (value[order][1:] != value[order][:-1]) | (tag[order][1:] != tag[order][:-1]) | (nameless[order][1:] != nameless[order][:-1])])
     out = np.empty(len(part), np.int64)
     out[order] = np.cumsum(changed) - 1
     return out
 
 
-FOUND = "doc_id long, tag long, start long, stop long, string binary"
+FOUND = "doc_id long, nameless boolean, tag long, start long, stop long, string binary"
 
 
 def _shard(part: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
     """One shard, in blocks of whole anchors: covered ranges; for wide anchors also each class's string and earliest start."""
-    part = part.sort_values(["anchor", "doc_id", "tag", "at"], ignore_index=True, na_position="first")
+    part = part.sort_values(["anchor", *DOC, "at"], ignore_index=True)
     part["order"] = _orders(part)
     size = part["data"].map(len).to_numpy()
     block, held, anchor = [], 0, part["anchor"].to_numpy()
@@ -248,7 +257,7 @@ def _shard(part: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
 def _block(part: pd.DataFrame, length: int) -> pd.DataFrame:
     kind, ctx, place = equal_strings(part["data"].tolist(), length)
     if not len(kind):
-        return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")}).astype({"doc_id": "Int64", "tag": "int64", "start": "int64", "stop": "int64", "string": object})
+        return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")}).astype({"doc_id": "int64", "nameless": bool, "tag": "int64", "start": "int64", "stop": "int64", "string": object})
     doc = part["order"].to_numpy()[ctx]
     start = (part["at"].to_numpy() - part["left"].to_numpy())[ctx] + place
     order = (doc << 32) | start
@@ -262,7 +271,7 @@ def _block(part: pd.DataFrame, length: int) -> pd.DataFrame:
         _, one = np.unique(kind[keep], return_index=True)
         keep = keep[one]
         data = part["data"].to_numpy()
-        rows = part.iloc[ctx[keep]][["doc_id", "tag"]].reset_index(drop=True)
+        rows = part.iloc[ctx[keep]][DOC].reset_index(drop=True)
         strings = [data[c][p:p + length] for c, p in zip(ctx[keep], place[keep], strict=True)]
         out.append(rows.assign(start=start[keep], stop=start[keep] + length, string=strings))
     return pd.concat(out, ignore_index=True)
@@ -275,7 +284,7 @@ def _ranges(part: pd.DataFrame, ctx: np.ndarray, doc: np.ndarray, start: np.ndar
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)])[:len(doc)]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc))[:len(first)] - 1
-    rows = part.iloc[ctx[first]][["doc_id", "tag"]].reset_index(drop=True)
+    rows = part.iloc[ctx[first]][DOC].reset_index(drop=True)
     return rows.assign(start=start[first], stop=start[last] + length, string=None)
 
 
@@ -288,7 +297,7 @@ def _merge_shards(part: pd.DataFrame) -> pd.DataFrame:
     merged, doc, start = strings[order], part["order"].to_numpy()[order], part["start"].to_numpy()[order]
     first = np.searchsorted(merged, strings)
     later = (doc[first] != part["order"].to_numpy()) | (start[first] != part["start"].to_numpy())
-    return part.loc[later, ["doc_id", "tag", "start", "stop"]]
+    return part.loc[later, [*DOC, "start", "stop"]]
 
 
 # -- the job ---------------------------------------------------------------------------
@@ -330,12 +339,12 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, shard_bytes: int = 3
     crowded = crowded.withColumn("shard", F.when(F.col("wide"), F.xxhash64("anchor", salt)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))).drop("count")
     contexts = contexts.where("not crowded").withColumn("wide", F.lit(False)).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).unionByName(crowded).drop("crowded")
 
-    found = contexts.groupBy("shard").applyInPandas(lambda part: pd.concat(_shard(part, length), ignore_index=True), FOUND)
+    found = held_ids(contexts).groupBy("shard").applyInPandas(lambda part: pd.concat(_shard(part, length), ignore_index=True), FOUND)
     found = materialise(found, "suffix-ranges")
-    covered = covered.unionByName(found.where("string is null").select("doc_id", "tag", "start", "stop"))
+    covered = covered.unionByName(true_ids(found.where("string is null").drop("string")))
     strings = found.where("string is not null").withColumn("bucket", F.pmod(F.xxhash64("string"), F.lit(shards * 8)))
-    across = strings.groupBy("bucket").applyInPandas(_merge_shards, "doc_id long, tag long, start long, stop long")
-    return covered.unionByName(across)
+    across = strings.groupBy("bucket").applyInPandas(_merge_shards, "doc_id long, nameless boolean, tag long, start long, stop long")
+    return covered.unionByName(true_ids(across))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from paths import SF001
 from webtext.operators import completers as C
 from webtext.sources.tables import TABLES
 from webtext.plans.queries import QUERIES

@@ -10,16 +10,19 @@ the columns it needs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import byte_length, byte_prefix, clean_lines
-from ..session import ship_package
+from ..session import ship_package, written_table
 from ..sources.tables import spread_scan
+from .asof import asof_join
+from .lookup import wanted_rows
 
 PAGE_FIELDS = T.StructType(
     [
@@ -46,6 +49,8 @@ _ARROW_FIELDS = [
 ]
 
 PREVIEW_BYTES = 500
+#: a wanted (url, key, selector) in a broadcast table, about; decides the way to the hits, not the hits
+TARGET_BYTES = 200
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,34 +158,83 @@ def snapshot_cause(found: Column, status: Column) -> Column:
     )
 
 
+def _broadcast_limit(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (set as a number, or with a unit)."""
+    found = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[found[2]] if found else 0
+
+
+def _records_of(targets: DataFrame, pages: DataFrame) -> DataFrame:
+    """Page records of the wanted (url, _key, _sel), each extracted once.
+
+    ``targets`` is narrow and written, so Spark knows its size: below the
+    broadcast limit the snapshot is only scanned; above it a Bloom filter of
+    the wanted keys ends all other rows at the scan, and only hits are shuffled.
+    """
+    spark = pages.sparkSession
+    html = pages.select("url", "_key", "html", "status_code", "content_type")
+    n = targets.count()
+    if n * TARGET_BYTES > _broadcast_limit(spark):
+        html = wanted_rows(html, targets, ["url", "_key"], n)
+    hits = html.join(targets, ["url", "_key"])
+    # parsing is CPU-bound, so hits go to all cores, not to as few tasks as their bytes need
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return extract_pages(hits.repartition(tasks, "url", "_sel"), keep=["_key", "_sel"], selector=F.nullif(F.col("_sel"), F.lit("")))
+
+
+def _with_records(requests: DataFrame, recs: DataFrame, on: list[str]) -> DataFrame:
+    """Requests with their page records (left join on ``on``) and ``fetch_error`` (NULL on success)."""
+    recs = recs.withColumn("_found", F.lit(True)).withColumnsRenamed({c: f"_r{c}" for c in [*on, "url", "_key"]})
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_r{c}"))
+    joined = requests.join(recs, same, "left")
+    found = F.coalesce(F.col("_found"), F.lit(False))
+    cause = F.coalesce(snapshot_cause(found, F.col("status_code")), F.col("extract_error"))
+    out = joined.withColumn("fetch_error", F.when(cause.isNotNull(), scrape_error(F.col("url"), cause)))
+    # a failed fetch is a hole: the body of an error response is no page
+    fields = ["title", "content", "clean_text", "links", "images", "metadata", "matched_selector"]
+    out = out.withColumns({c: F.when(F.col("fetch_error").isNull(), F.col(c)) for c in fields})
+    return out.drop("_found", "_sel", "_key", *[f"_r{c}" for c in [*on, "url", "_key"]])
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("_key", F.col("page_id") if "page_id" in pages.columns else F.xxhash64("html"))
+
+
 def scrape_urls(
     requests: DataFrame, pages: DataFrame, selector_col: str | None = None
 ) -> DataFrame:
     """Extract each distinct (url, selector) of ``requests`` once from the snapshot
     and join the record back to every request row (left join: an unknown URL
-    keeps its row with NULL fields). Adds ``fetch_error`` (NULL on success)."""
+    keeps its row with NULL fields). Adds ``fetch_error`` (NULL on success).
+
+    Of several responses of a URL the one of the largest page_id is taken. It
+    is chosen on narrow columns; HTML is read for chosen rows only."""
     sel = F.coalesce(F.col(selector_col), F.lit("")) if selector_col else F.lit("")
-    # One response per URL, chosen on narrow columns: the one of the largest
-    # page_id. HTML is read for the chosen rows only after that.
-    wanted = requests.select("url", sel.alias("selector")).distinct()
-    key = F.col("page_id") if "page_id" in pages.columns else F.xxhash64("html")
-    keyed = pages.withColumn("_key", key)
-    chosen = keyed.select("url", "_key").join(wanted.select("url"), "url", "left_semi").groupBy("url").agg(F.max("_key").alias("_key"))
-    snap = keyed.select("url", "_key", "html", "status_code", "content_type").join(chosen, ["url", "_key"], "left_semi").drop("_key")
-    hits = snap.join(wanted, "url", "inner").hint("rebalance")
-    recs = extract_pages(hits, keep=["selector"], selector=F.nullif(F.col("selector"), F.lit("")))
-    recs = recs.withColumn("_found", F.lit(True))
-    req = requests.withColumn("_sel", sel)
-    joined = req.join(
-        recs.withColumnRenamed("url", "_rurl").withColumnRenamed("selector", "_rsel"),
-        (F.col("url") == F.col("_rurl")) & (F.col("_sel") == F.col("_rsel")),
-        "left",
-    )
-    found = F.coalesce(F.col("_found"), F.lit(False))
-    cause = F.coalesce(snapshot_cause(found, F.col("status_code")), F.col("extract_error"))
-    return joined.withColumn("fetch_error", F.when(cause.isNotNull(), scrape_error(F.col("url"), cause))).drop(
-        "_rurl", "_rsel", "_found", "_sel"
-    )
+    wanted = requests.select("url", sel.alias("_sel")).distinct()
+    keyed = _keyed(pages)
+    chosen = keyed.select("url", "_key").join(wanted.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.max("_key").alias("_key"))
+    targets = written_table(chosen.join(wanted, "url").select("url", "_key", "_sel"), "wanted-pages")
+    return _with_records(requests.withColumn("_sel", sel), _records_of(targets, keyed), ["url", "_sel"])
+
+
+def scrape_urls_as_of(
+    requests: DataFrame, responses: DataFrame, selector_col: str | None = None, time_col: str = "requested_at"
+) -> DataFrame:
+    """As :func:`scrape_urls`, each request at its own time ``time_col``: it gets the URL's latest
+    response with ``fetched_at`` at or before it (of equal times the largest ``page_id``), given as ``fetched_at``.
+
+    ``responses``: page_id, url, fetched_at, html[, status_code, content_type]. A request without a time,
+    or before the first response, fails as not in the snapshot. Each distinct (response, selector) is extracted once.
+    """
+    sel = F.coalesce(F.col(selector_col), F.lit("")) if selector_col else F.lit("")
+    keyed = _keyed(responses)
+    narrow = keyed.select("url", "_key", "fetched_at")
+    dated = asof_join(requests.withColumn("_sel", sel), narrow, ["url"], time_col, "fetched_at", ["_key", "fetched_at"], tie="_key")
+    dated = written_table(dated, "dated-requests")
+    targets = written_table(dated.where(F.col("_key").isNotNull()).select("url", "_key", "_sel").distinct(), "wanted-pages")
+    return _with_records(dated.withColumn("_own", F.col("_key")), _records_of(targets, keyed).withColumn("_own", F.col("_key")), ["_own", "_sel"]).drop("_own")
 
 
 def extract_batch(batches: DataFrame, pages: DataFrame, selector: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +250,15 @@ def extract_batch(batches: DataFrame, pages: DataFrame, selector: str | None = N
     items = batches.select("batch_id", F.posexplode("urls").alias("idx", "url"))
     if selector is not None:
         items = items.withColumn("selector", F.lit(selector))
-    rows = scrape_urls(items, pages, "selector" if selector is not None else None)
+    return _batch_rows(scrape_urls(items, pages, "selector" if selector is not None else None))
+
+
+def extract_batch_as_of(items: DataFrame, responses: DataFrame, selector_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`extract_batch` for ``items`` (batch_id, idx, url, requested_at), each fetched as of its own time."""
+    return _batch_rows(scrape_urls_as_of(items, responses, selector_col))
+
+
+def _batch_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn(
         "error",
         F.when(F.col("fetch_error").isNotNull(), F.concat(F.lit("failed to scrape "), F.col("url"), F.lit(": "), F.col("fetch_error"))),

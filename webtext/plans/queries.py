@@ -125,7 +125,7 @@ def page_stats(spark, sf):
 
 
 def _batch_rows(spark, sf):
-    pages = load_pages(spark, sf)
+    pages = tables.load_pages(spark, sf)  # hits are spread after the lookup
     return P.extract_batch(D.url_batches(pages), pages)
 
 
@@ -164,6 +164,13 @@ def tool_error(spark, sf):
     return _responses(spark, sf).filter("is_error").select("batch_id", "idx", "result")
 
 
+def extract_batch_as_of(spark, sf):
+    """P12 where every URL has three stored responses and every request its own time."""
+    pages, events = tables.load_pages(spark, sf), tables.load_events(spark, sf)
+    rows, _ = P.extract_batch_as_of(D.dated_items(D.url_batches(pages), events), D.page_responses(pages, events))
+    return rows.select("batch_id", "idx", "url", "requested_at", "fetched_at", "title", byte_length("clean_text").alias("clean_bytes"), "status_code", "error")
+
+
 # -- summarisation -------------------------------------------------------------
 
 
@@ -428,6 +435,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_stats": page_stats,
     "extract_batch": extract_batch,
     "extract_batch_summary": extract_batch_summary,
+    "extract_batch_as_of": extract_batch_as_of,
     "tool_response": tool_response,
     "tool_response_full": tool_response_full,
     "tool_error": tool_error,

@@ -103,3 +103,13 @@ def reliable_checkpoint(df):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint dir for written intermediate tables and stream state."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written_table(df, name: str):
+    """``df`` written once as Parquet to the shared checkpoint folder and read back.
+
+    Cuts lineage like :func:`reliable_checkpoint`; the reader also knows the
+    table's true size, so Spark picks joins by it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -113,6 +113,34 @@ def url_batches(pages: DataFrame) -> DataFrame:
     )
 
 
+def with_event_time(rows: DataFrame, events: DataFrame, number: Column, name: str) -> DataFrame:
+    """``rows`` with the time ``name`` of event ``number % count(events)``; NULL where ``number`` is."""
+    ts = events.select(F.col("event_id").alias("_event"), F.col("ts").alias(name))
+    return rows.withColumn("_event", number % events.select(F.count(F.lit(1))).scalar()).join(ts, "_event", "left").drop("_event")
+
+
+def page_responses(pages: DataFrame, events: DataFrame) -> DataFrame:
+    """Three stored responses per page, ids ``page_id * 3 + v``: fetched at event ``id * 7``, the title
+    marked ``v<v> ``. The third one of every page with ``page_id % 4 = 3`` was fetched at the second one's
+    time; the second one of every page with ``page_id % 5 = 0`` has status 503, all others 200."""
+    versions = pages.withColumn("v", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    number = F.col("page_id") * 3 + F.col("v")
+    same = (F.col("v") == 2) & (F.col("page_id") % 4 == 3)
+    dated = with_event_time(versions, events, F.when(same, number - 1).otherwise(number) * 7, "fetched_at")
+    return dated.select(
+        number.alias("page_id"), "url", "fetched_at",
+        F.replace(F.col("html"), F.lit("<title>"), F.concat(F.lit("<title>v"), F.col("v").cast("string"), F.lit(" "))).alias("html"),
+        F.when((F.col("v") == 1) & (F.col("page_id") % 5 == 0), 503).otherwise(200).alias("status_code"), "content_type",
+    )
+
+
+def dated_items(batches: DataFrame, events: DataFrame) -> DataFrame:
+    """URLs of batches (batch_id, idx, url), each requested at event ``(batch_id * 13 + idx) * 17``; no time where ``(batch_id + idx) % 11 = 0``."""
+    items = batches.select("batch_id", F.posexplode("urls").alias("idx", "url"))
+    b, i = F.col("batch_id"), F.col("idx")
+    return with_event_time(items, events, F.when((b + i) % 11 != 0, (b * 13 + i) * 17), "requested_at")
+
+
 def _call(name: str, args: list[tuple[str, Column]], reasoning: str) -> Column:
     parts: list[Column] = [F.lit('{"name":"' + name + '","arguments":{')]
     for i, (k, v) in enumerate(args):

@@ -60,3 +60,7 @@ def load_documents(spark: SparkSession, sf_dir: str, spread: bool = False) -> Da
 
 def load_conversations(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     return read_table(spark, sf_dir, "conversations", spread).select("conv_id", "turn", "role", "text")
+
+
+def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")

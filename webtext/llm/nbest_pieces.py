@@ -41,7 +41,7 @@ from webtext.llm.common import ship, table
 
 MARK = "▁"
 LITERAL = "\udc00"  # stands for a word mark of the text; no text holds this code point
-MEMORY = 400_000  # words whose paths a Python worker remembers
+MEMORY = 1_000_000  # words whose paths a Python worker remembers
 LONGEST_WORD = 64  # characters of a remembered word
 PENALTY = 10.0
 UNUSED = -1e8  # pieces scored below are for white space only and lose to their parts
@@ -66,19 +66,28 @@ class PieceModel:
                 self.ids[piece], self.scores[piece] = i, sp.get_score(i)
                 spelling[i] = piece.replace(MARK, " ").encode()
         self.spelling = np.array(spelling, object)
-        # every piece with its score and id, and every beginning of one
-        self.trie: dict[str, tuple] = {p[:n]: () for p in self.ids for n in range(1, len(p))}
-        self.trie.update({p: (self.scores[p], (i,)) for p, i in self.ids.items()})
+        # a node: character -> (next node, score and ids of the piece that ends there, or None)
+        tree: dict = {}
+        for p, i in self.ids.items():
+            node = tree
+            for c in p[:-1]:
+                node = node.setdefault(c, [{}, None, None])[0]
+            node.setdefault(p[-1], [{}, None, None])[1:] = self.scores[p], (i,)
+        self.trie = _frozen(tree)
         self.byte_score = min(s for s in self.scores.values() if s > UNUSED) - PENALTY
         self.parts = re.compile(rf"{MARK}*(?:[^\W\d_¹²³]+|(?:(?!{MARK})[\W\d_¹²³])+)|{MARK}+")
         if not all(self.parts.fullmatch(p) for p in self.ids):  # some piece joins letters with others: part at word marks only
             self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         assert all(self.parts.fullmatch(p) for p in self.ids), "a piece holds a word mark after another character"
-        self.known: dict[str, tuple[float, bytes, float]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty memory: numbered parts with their best ids, their best scores and the losses of their second best paths."""
+        self.numbers, self.best_ids, self.figures, self.others = Numbers(self), [], np.empty((1 << 10, 3)), {}
 
     def lattice(self, part: str, keep: int) -> list[list[tuple[float, int, float, tuple[int, ...]]]]:
         """Forward Viterbi: for every place the ``keep`` best edges (score of the path to here, start, own score, ids)."""
-        n, ids, trie = len(part), self.ids, self.trie
+        n, ids = len(part), self.ids
         edges: list[list] = [[] for _ in range(n + 1)]
         edges[0].append((0.0, 0, 0.0, ()))
         for start in range(n):
@@ -88,14 +97,15 @@ class PieceModel:
             if len(here) > 1:
                 here.sort(reverse=True)
                 del here[keep:]
-            before = here[0][0]
-            for end in range(start + 1, n + 1):
-                found = trie.get(part[start:end])
-                if found:
-                    own, piece = found
-                    edges[end].append((before + own, start, own, piece))
-                elif found is None:
+            before, node, end = here[0][0], self.trie, start
+            for c in part[start:] if start else part:
+                found = node.get(c)
+                if found is None:
                     break
+                end += 1
+                node, own, piece = found
+                if piece is not None:
+                    edges[end].append((before + own, start, own, piece))
             if part[start] not in ids:
                 spelled = tuple([self.byte_ids[b] for b in part[start].replace(LITERAL, MARK).encode()])
                 own = self.byte_score * len(spelled)
@@ -132,47 +142,93 @@ class PieceModel:
             out.append((-bound, tuple(ids)))
         return out
 
-    def remember(self, part: str) -> tuple[float, bytes, float]:
-        """(best score, best ids as bytes, loss of the second best) of a part."""
-        found = self.paths(part, 2)
-        entry = (found[0][0], np.array(found[0][1], "<u4").tobytes(), found[0][0] - found[1][0] if len(found) > 1 else math.inf)
-        if len(part) <= LONGEST_WORD:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[part] = entry
-        return entry
+    def remember(self, part: str) -> int:
+        """The number of a new part."""
+        edges, number = self.lattice(part, 2), len(self.best_ids)
+        if number == len(self.figures):
+            self.figures = np.concatenate([self.figures, np.empty_like(self.figures)])
+        # the search's first path; the best of the continuations that it leaves waiting is the second path
+        place, loss, best = len(part), math.inf, []
+        while place:
+            first, *second = edges[place]
+            if second and first[0] - second[0][0] < loss:
+                loss = first[0] - second[0][0]
+            best.append(first[3])
+            place = first[1]
+        self.best_ids.append(np.array([i for piece in reversed(best) for i in piece], "<u4").tobytes())
+        # best score, loss of the second best, bytes of the best ids
+        self.figures[number] = edges[-1][0][0], loss, len(self.best_ids[-1])
+        return number
+
+    def other_paths(self, part: str, n_best: int) -> list[tuple[float, bytes]]:
+        """(loss against the best, ids) of a part's next paths."""
+        key = (part, n_best)
+        if key not in self.others:
+            (best, _), *rest = self.paths(part, n_best)
+            rest = [(best - score, np.array(ids, "<u4").tobytes()) for score, ids in rest]
+            if len(part) > LONGEST_WORD:
+                return rest
+            self.others[key] = rest
+        return self.others[key]
 
     def encode(self, text: str, n_best: int) -> list[tuple[float, np.ndarray]]:
         """(score, ids) of the n best segmentations of a text."""
         if not text:
             return [(0.0, np.empty(0, "<u4"))]
+        if len(self.best_ids) >= MEMORY:
+            self.forget()
         parts = self.parts.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK))
-        known, remember = self.known, self.remember
-        entries = [known.get(p) or remember(p) for p in parts]
-        total, spelled, second = sum(e[0] for e in entries), [e[1] for e in entries], [e[2] for e in entries]
+        numbers = list(map(self.numbers.__getitem__, parts))
+        score, second, size = self.figures.take(numbers, axis=0).T
+        total, best = sum(score.tolist()), b"".join(map(self.best_ids.__getitem__, numbers))
+        ends = np.cumsum(size).astype(np.int64)
         # any of the n best sums leaves the best path in parts with the smallest losses only: n - 1 of them do
         losses = []
+        second = second.copy()
         for _ in range(n_best - 1):
-            least = min(second)
-            if least == math.inf:
+            i = int(second.argmin())
+            if second[i] == math.inf:
                 break
-            i = second.index(least)
             second[i] = math.inf
-            (best, _), *rest = self.paths(parts[i], n_best)
-            losses.extend((best - score, i, np.array(ids, "<u4").tobytes()) for score, ids in rest)
+            losses.extend((loss, i, ids) for loss, ids in self.other_paths(parts[i], n_best))
         out = []
         for loss, swaps in best_sums(sorted(losses), n_best):
-            own = spelled
-            if swaps:
-                own = list(spelled)
-                for i, ids in swaps:
-                    own[i] = ids
-            out.append((total - loss, np.frombuffer(b"".join(own), "<u4")))
+            own = best
+            for i, ids in sorted(swaps, reverse=True):  # from the end, so that earlier places stay
+                own = own[:ends[i] - int(size[i])] + ids + own[ends[i]:]
+            out.append((total - loss, np.frombuffer(own, "<u4")))
+        self.numbers.drop_long()
         return out
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The text of a segmentation in UTF-8."""
+        return b"".join(self.spelling[ids].tolist())[1:]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation."""
-        return b"".join(self.spelling[ids]).decode()[1:] if len(ids) else ""
+        return self.spell(ids).decode()
+
+
+def _frozen(node: dict) -> dict:
+    return {c: (_frozen(after), own, piece) for c, (after, own, piece) in node.items()}
+
+
+class Numbers(dict):
+    """Part -> its number; a new part is searched and remembered. Long parts are forgotten after their text."""
+
+    def __init__(self, model: PieceModel):
+        self.model, self.long = model, []
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = self.model.remember(part)
+        if len(part) > LONGEST_WORD:
+            self.long.append(part)
+        return number
+
+    def drop_long(self) -> None:
+        for part in self.long:
+            self.model.best_ids[self.pop(part)] = b""
+        self.long.clear()
 
 
 def best_sums(losses: list[tuple[float, int, bytes]], n: int) -> list[tuple[float, list[tuple[int, bytes]]]]:
@@ -237,7 +293,7 @@ def summaries(docs: DataFrame, model: str, n_best: int, id_col: str = "doc_id",
             out = []
             for i, t in enumerate(b.column(1)):
                 for r, (score, ids) in enumerate(pieces.encode(t.as_py() or "", n_best), 1):
-                    out.append((i, r, score, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(pieces.decode(ids).encode()).hexdigest()))
+                    out.append((i, r, score, len(ids), zlib.crc32(ids), hashlib.sha256(pieces.spell(ids)).hexdigest()))
             if out:
                 doc, *cols = zip(*out, strict=True)
                 kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.string())

@@ -105,19 +105,6 @@ def test_document_tool(spark):
     assert got == {1: (["Document 1 from s", "longer"], False), 2: (["Error reading document: document too short"], True), 3: (["Document 2", ""], False), 4: none, 5: none}
 
 
-def test_session_epochs(spark, tmp_path):
-    """A later epoch sees the exits of earlier ones; a replayed epoch gives the same rows."""
-    from webtext.streaming.streams import session_turns_batch
-
-    schema, turns = "conv_id long, turn long, text string", session_turns_batch(str(tmp_path / "exits"))
-    one = spark.createDataFrame([(1, 0, "a"), (1, 3, " Exit "), (1, 4, "after"), (2, 0, " \t"), (2, 1, "b")], schema)
-    two = spark.createDataFrame([(1, 1, "late but before"), (1, 5, "late after"), (2, 2, "quit"), (2, 3, "c")], schema)
-    rows = lambda df: sorted((r.conv_id, r.turn, r.text) for r in df.collect())
-    assert rows(turns(one, 0)) == [(1, 0, "a"), (2, 1, "b")]
-    assert rows(turns(two, 1)) == [(1, 1, "late but before")]
-    assert rows(turns(one, 0)) == [(1, 0, "a"), (2, 1, "b")]
-
-
 def test_terms_outside_an_external_corpus_count(spark):
     from webtext.operators.completers import term_weights
 

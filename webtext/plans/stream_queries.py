@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..operators.completers import replay_completer
 from ..session import scratch_path
 from ..sources import derived as D
-from ..sources.tables import load_documents, load_pages, page_columns
-from ..streaming.streams import file_stream, run_to_parquet, session_turns_batch, stream_answer, stream_extract
+from ..sources.tables import load_documents, load_events, load_pages, page_columns
+from ..streaming.answers import decided_requests, split_decided
+from ..streaming.sessions import CHANGES, kept_lines, rocksdb_state, session_changes
+from ..streaming.streams import file_stream, run_to_parquet, stream_extract, write_epochs
 from .answer import answer_requests, library_registry
 
 
@@ -36,30 +38,65 @@ def stream_extract_q(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose ``ts`` a watermark can follow."""
+    return load_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _line_stream(spark: SparkSession, sf: str, exits: bool) -> DataFrame:
+    """User lines with the time of event ``conv_id * 31 + turn`` as ``at``."""
     conv = _stream(spark, sf, "conversations")
     lines = D.session_lines(conv) if exits else conv
-    return lines.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    lines = lines.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    return D.with_event_time(lines, _events(spark, sf), F.pmod(F.col("conv_id"), F.lit(1000003)) * 31 + F.pmod(F.col("turn"), F.lit(1009)), "at")
 
 
-def stream_sessions_q(spark: SparkSession, sf: str) -> DataFrame:
+def _sessions(spark: SparkSession, sf: str, exits: bool) -> DataFrame:
+    """T2 over the conversations, to the end of the stream; its kept lines."""
     base = scratch_path(spark, "stream-sessions")
-    turns = session_turns_batch(base + "/exits")
-    stream_answer(_line_stream(spark, sf, exits=True), turns, base + "/data", base + "/checkpoint").awaitTermination()
-    return spark.read.parquet(base + "/data").select("conv_id", "turn", "text")
+    changes = session_changes(_line_stream(spark, sf, exits), "at")
+    with rocksdb_state(spark):
+        write_epochs(changes, lambda batch, epoch: batch, base + "/data", base + "/checkpoint", "update").awaitTermination()
+    return kept_lines(spark.read.schema(CHANGES + ", epoch_id long").parquet(base + "/data"))
+
+
+def stream_sessions_q(spark: SparkSession, sf: str) -> DataFrame:
+    return _sessions(spark, sf, exits=True)
+
+
+#: The rows of the given tables lie in 30 days, in no order of time; a beat after all of them closes the streams.
+DELAY, WAIT, BEAT, BEAT_ID = "31 days", "1 hour", "INTERVAL 100 days", "beat"
+
+
+def _staged(rows: DataFrame, time_col: str, path: str, files: int) -> DataFrame:
+    """``rows`` as a stream of files, then a beat far after the last time. (It has an id:
+    Spark drops rows that can't join before they count for the watermark.)"""
+    rows.repartition(files, F.xxhash64(F.lit(files), "request_id")).write.parquet(path)
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    beat = stored.agg((F.coalesce(F.max(time_col), F.current_timestamp()) + F.expr(BEAT)).alias(time_col))
+    columns = {time_col: F.col(time_col), "request_id": F.lit(BEAT_ID)}
+    beat.select(*[columns.get(c, F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
+    return file_stream(rows.sparkSession, path, rows.schema)
 
 
 def stream_answer_q(spark: SparkSession, sf: str) -> DataFrame:
-    pages = load_pages(spark, sf, spread=True)
-    registry, ctx = library_registry(), {"pages": pages, "documents": load_documents(spark, sf, spread=True)}
+    """The lines that T2 keeps are a stream of requests, their decisions a second one."""
+    pages, events = load_pages(spark, sf), _events(spark, sf)
+    registry, ctx = library_registry(), {"pages": pages, "documents": load_documents(spark, sf)}
     base = scratch_path(spark, "stream-answer")
-    turns = session_turns_batch(base + "/exits")
+    turns = _sessions(spark, sf, exits=False).withColumn("role", F.lit("user"))
+    req = D.with_event_time(D.user_requests(turns), events, D.request_seed(), "asked_at").select("request_id", "user_text", "asked_at")
+    requests = _staged(req, "asked_at", base + "/requests", 4)
+    written = spark.read.schema(req.schema).parquet(base + "/requests").where(F.col("request_id") != BEAT_ID)
+    # a decision comes within an hour, before or after others that were asked for later
+    made = D.decisions(written, pages).join(written.select("request_id", "asked_at"), "request_id")
+    made = made.withColumn("decided_at", F.col("asked_at") + F.make_dt_interval(mins=(D.request_seed() % 60).cast("int"))).drop("asked_at")
+    decisions = _staged(made, "decided_at", base + "/decisions", 3)
 
     def answer(batch: DataFrame, epoch_id: int) -> DataFrame:
-        req = turns(batch, epoch_id).select(D.request_key().alias("request_id"), "conv_id", "turn",
-                           F.col("text").alias("user_text"))
-        return answer_requests(req, D.decisions(req, pages), registry, ctx, replay_completer(D.post_completions(req)))
+        own, came = split_decided(batch.where(F.col("request_id") != BEAT_ID))
+        return answer_requests(own, came, registry, ctx, replay_completer(D.post_completions(own)))
 
-    q = stream_answer(_line_stream(spark, sf, exits=False), answer, base + "/data", base + "/checkpoint")
-    q.awaitTermination()
+    joined = decided_requests(requests, decisions, DELAY, WAIT)
+    write_epochs(joined, answer, base + "/data", base + "/checkpoint").awaitTermination()
     return spark.read.parquet(base + "/data").drop("epoch_id")

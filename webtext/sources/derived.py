@@ -170,13 +170,20 @@ def _decision(calls: list[Column], should: bool, conf: str, post: str, message:
 
 
 def request_key() -> Column:
-    return F.col("conv_id") * F.lit(1 << 32) + F.col("turn")
+    """The key of a request, ``<conv_id>:<turn>``: one for every turn, whatever the two numbers are."""
+    return F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+
+
+def request_seed() -> Column:
+    """A number from the key that the rules of the derived answers count by."""
+    conv, turn = (F.split_part("request_id", F.lit(":"), F.lit(i)).cast("long") for i in (1, 2))
+    return F.pmod(conv, F.lit(1000003)) * 1009 + F.pmod(turn, F.lit(1009))
 
 
 def post_completions(requests: DataFrame) -> DataFrame:
-    """Model answers to post-processing requests, by ``request_id % 5``: 1 a
+    """Model answers to post-processing requests, by ``seed % 5``: 1 a
     transport error, 2 no choices, else `` Done: <user text> ``."""
-    m = F.col("request_id") % 5
+    m = request_seed() % 5
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
     return requests.select(
         "request_id",
@@ -188,7 +195,7 @@ def post_completions(requests: DataFrame) -> DataFrame:
 
 
 def user_requests(conversations: DataFrame) -> DataFrame:
-    """User turns as requests: ``request_id = conv_id * 2^32 + turn``, one id for every turn of a conversation of any length."""
+    """User turns as requests with the key ``<conv_id>:<turn>``."""
     return conversations.filter(F.col("role") == "user").select(
         request_key().alias("request_id"), "conv_id", "turn", F.col("text").alias("user_text")
     )
@@ -196,7 +203,7 @@ def user_requests(conversations: DataFrame) -> DataFrame:
 
 def decisions(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """Model answers to analysis requests, as a completions table, by
-    ``k = request_id % 23`` (FIXTURES §3); ``page(i)`` = url of ``page_id = i % count(pages)``.
+    ``k = seed % 23`` of the key's :func:`request_seed` (FIXTURES §3); ``page(i)`` = url of ``page_id = i % count(pages)``.
 
     0-8 calls of the page tool; 9 should_call false, confidence 0.5; 10 no
     calls; 11 JSON null; 12 repeated keys; 13 oddly cased keys; 14 null fields;
@@ -207,12 +214,12 @@ def decisions(requests: DataFrame, pages: DataFrame) -> DataFrame:
     p = pages.select("page_id", "url")
     r = requests.select("request_id", n_pages.alias("n_pages"))
     r = (
-        r.join(p.withColumnsRenamed({"page_id": "_p1", "url": "url1"}), F.col("_p1") == F.col("request_id") % F.col("n_pages"), "left")
-        .join(p.withColumnsRenamed({"page_id": "_p2", "url": "url2"}), F.col("_p2") == (F.col("request_id") + 1) % F.col("n_pages"), "left")
+        r.join(p.withColumnsRenamed({"page_id": "_p1", "url": "url1"}), F.col("_p1") == request_seed() % F.col("n_pages"), "left")
+        .join(p.withColumnsRenamed({"page_id": "_p2", "url": "url2"}), F.col("_p2") == (request_seed() + 1) % F.col("n_pages"), "left")
     )
     rid = F.col("request_id").cast("string")
     u1, u2 = _q(F.col("url1")), _q(F.col("url2"))
-    doc = (F.col("request_id") % F.col("n_pages")).cast("string")
+    doc = (request_seed() % F.col("n_pages")).cast("string")
     scrape1 = _call("scrape_url", [("url", u1)], "page requested")
 
     def read(doc_id: Column | None, min_chars: str, with_source: str) -> Column:
@@ -244,7 +251,7 @@ def decisions(requests: DataFrame, pages: DataFrame) -> DataFrame:
         None, None, None,
         _decision([scrape1, read(doc, "0", "false"), missing], True, "0.9", "Recommend topic"),
     ]
-    k = F.col("request_id") % len(texts)
+    k = request_seed() % len(texts)
     text = F.when(F.lit(False), F.lit(""))
     for i, t in enumerate(texts):
         if t is not None:

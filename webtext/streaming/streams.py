@@ -1,4 +1,4 @@
-"""Structured Streaming versions of extraction, sessions and answering.
+"""Structured Streaming: sources, sinks and stateless extraction (T1); sessions, answers and windows are in modules of their own.
 
 Sources are file streams (new Parquet files of pages / turns); sinks are
 Parquet folders with a checkpoint under the session's checkpoint directory,
@@ -8,15 +8,11 @@ there and stops, which is how the registered queries and tests drive them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import ws_trim
-from ..operators.agent import EXIT_WORDS
 from ..operators.pages import extract_pages
 from ..session import scratch_path
 
@@ -55,82 +51,17 @@ def stream_extract(pages_stream: DataFrame, parallelism: int | None = None) -> D
     return extract_pages(pages_stream.repartition(n), keep=["page_id"], spread=False)
 
 
-# -- T2 ---------------------------------------------------------------------
+# -- micro-batches ----------------------------------------------------------
 
-SESSION_OUT = "conv_id long, turn long, text string"
-SESSION_STATE = "exit_turn long"
 
-
-def _session_step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    from webtext.functions.text import py_trim
-
-    exit_turn = state.get[0] if state.exists else None
-    rows = []
-    for pdf in chunks:  # bounded by the micro-batch size (maxFilesPerTrigger)
-        for turn, text in zip(pdf["turn"].tolist(), pdf["text"].tolist()):
-            t = py_trim(text or "")
-            if not t:
-                continue
-            if t.lower() in ("exit", "quit"):
-                exit_turn = turn if exit_turn is None else min(exit_turn, turn)
-            else:
-                rows.append((turn, t))
-    if exit_turn is not None:
-        state.update((int(exit_turn),))
-    keep = [(key[0], turn, t) for turn, t in sorted(rows) if exit_turn is None or turn < exit_turn]
-    yield pd.DataFrame(keep, columns=["conv_id", "turn", "text"])
-
-
-def stream_sessions(lines_stream: DataFrame) -> DataFrame:
-    """T2 as one streaming DataFrame, for conversations of bounded size; a
-    conversation's lines of a micro-batch are one group of a Python step, so
-    :func:`session_turns_batch` is the form for any size.
-
-    A1 on a stream. State per conversation is the turn number of its
-    first exit, so a line arriving in a later micro-batch is kept exactly when
-    it comes before that exit. (A line emitted before a smaller exit turn
-    arrives cannot be retracted: equal to batch A1 for in-order arrival.)"""
-    return lines_stream.groupBy("conv_id").applyInPandasWithState(
-        _session_step, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def session_turns_batch(exits_path: str) -> Callable[[DataFrame, int], DataFrame]:
-    """T2 for ``foreachBatch``: (lines, epoch) -> the turns that are kept.
-
-    The state is a table of first exits: every epoch writes the exits of its
-    own lines (one row per conversation, partially aggregated) to
-    ``exits_path/epoch_id=<n>``, and a line is kept if no exit of this or an
-    earlier epoch comes at or before it. Texts pass through column expressions
-    and one join on conv_id, which adaptive execution splits for a hot
-    conversation; no group of lines is ever gathered. A replayed epoch
-    overwrites its own folder and reads no later one. A line that was put out
-    before a smaller exit arrives stays, as in :func:`stream_sessions`.
-    """
-
-    def run(lines: DataFrame, epoch_id: int) -> DataFrame:
-        spark = lines.sparkSession
-        t = lines.withColumn("text", ws_trim(F.col("text"))).filter(F.col("text") != "")
-        own = t.filter(F.lower("text").isin(*EXIT_WORDS)).groupBy("conv_id").agg(F.min("turn").alias("exit_turn"))
-        own.write.mode("overwrite").parquet(f"{exits_path}/epoch_id={epoch_id}")
-        exits = spark.read.schema("conv_id long, exit_turn long, epoch_id long").parquet(exits_path).filter(F.col("epoch_id") <= epoch_id)
-        first = exits.groupBy("conv_id").agg(F.min("exit_turn").alias("exit_turn"))
-        kept = t.join(first, "conv_id", "left").filter(F.col("exit_turn").isNull() | (F.col("turn") < F.col("exit_turn")))
-        return kept.select("conv_id", "turn", "text")
-
-    return run
-
-
-# -- T3 ---------------------------------------------------------------------
-
-
-def stream_answer(
-    requests_stream: DataFrame,
+def write_epochs(
+    stream: DataFrame,
     answer: Callable[[DataFrame, int], DataFrame],
     out_path: str,
     checkpoint: str,
+    mode: str = "append",
 ):
-    """Run a batch plan ``(rows, epoch) -> rows`` on every micro-batch and
+    """Run a batch plan ``(rows, epoch) -> rows`` on every micro-batch and
     write its rows to ``out_path/epoch_id=<n>`` (``foreachBatch``; the
     per-request ordered aggregation is not a streaming aggregate). Each epoch
     overwrites its own folder, so a replayed epoch after a failure does not
@@ -145,8 +76,19 @@ def stream_answer(
             batch.unpersist()
 
     return (
-        requests_stream.writeStream.foreachBatch(per_batch)
+        stream.writeStream.foreachBatch(per_batch)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query dropped as later than its watermark, over its recorded progress."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def state_rows(query: StreamingQuery) -> list[int]:
+    """Rows of state after every recorded micro-batch."""
+    return [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress]

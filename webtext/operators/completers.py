@@ -218,6 +218,31 @@ def _weights(tf: DataFrame, corpus: DataFrame | None, extra: tuple[str, ...] = (
     )
 
 
+def hot_terms(requests: DataFrame, share: float = 0.01, most: int = 256, tracked: int = 20000) -> list[str]:
+    """Terms that a frequent-items sketch finds in at least ``share`` of all texts, at most ``most``.
+
+    Every task keeps at most ``tracked`` counters, which are merged; a term of more than 1 / ``tracked``
+    of all (text, term) pairs is surely among them. The terms only choose the way of their rows.
+    """
+    terms = requests.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_RE), 0))).alias("term"))
+    found = terms.select(F.expr(f"approx_top_k(term, {most}, {tracked})").alias("top")).first()[0]
+    least = share * requests.count()
+    return [r["item"] for r in found or [] if r["item"] is not None and r["count"] >= least]
+
+
+def salted_weights(tf: DataFrame, hot: list[str], salts: int = 64) -> DataFrame:
+    """:func:`_weights` where the rows of the ``hot`` terms join in ``salts`` parts each, by request.
+
+    A term's counts are combined before its frequency is copied to its salts, so a term of half of
+    all texts costs ``salts`` more rows on one side and no task gets all rows of the other."""
+    is_hot = F.col("term").isin(hot) if hot else F.lit(False)
+    salted = tf.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("request_id"), F.lit(salts))).otherwise(0).cast("int"))
+    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_occurrences")).filter(F.col("_occurrences") > 0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dfreq = dfreq.select("term", "df", F.explode(copies).alias("salt"))
+    return salted.join(dfreq, ["term", "salt"]).select("request_id", "term", "tf", "df", F.expr(f"(tf * {WEIGHT_SCALE}) div df").alias("weight"))
+
+
 def term_weights(requests: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """Per-(request, term) integer weights ``tf * 1e6 div df``.
 
@@ -280,13 +305,18 @@ def extractive_completer(corpus: DataFrame | None = None) -> Callable[[DataFrame
     return run
 
 
-def top_keywords(requests: DataFrame, corpus: DataFrame | None = None, k: int = TOP_KEYWORDS) -> DataFrame:
+def top_keywords(requests: DataFrame, corpus: DataFrame | None = None, k: int = TOP_KEYWORDS, hot: list[str] | None = None) -> DataFrame:
     """Up to ``k`` terms per request ranked by weight desc, then term.
+    With ``hot`` (:func:`hot_terms`) the weight join splits these terms by salt.
 
     ``row_number() <= k`` over a window lets Spark apply the per-group limit
     before the shuffle (window group limit), so each request ships at most k
     rows per partition."""
-    weights = term_weights(requests, corpus)
+    if hot is None:
+        weights = term_weights(requests, corpus)
+    else:
+        terms = F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_RE), 0)
+        weights = salted_weights(_term_counts(requests.select("request_id", terms.alias("terms"))), hot)
     w = Window.partitionBy("request_id").orderBy(F.col("weight").desc(), F.col("term"))
     return weights.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

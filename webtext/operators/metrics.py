@@ -22,6 +22,27 @@ def extract_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+#: levels of :func:`extract_rollup`, coarsest last
+ROLLUP = [["tld", "domain", "host", "status_code"], ["tld", "domain", "host"], ["tld", "domain"], ["tld"], []]
+
+
+def extract_rollup(rows: DataFrame) -> DataFrame:
+    """M1 at all levels of the host's suffix chain in one pass: host and status, host, domain (last two labels),
+    top-level domain, all. ``level_id`` is Spark's ``grouping_id``: a bit for each of (tld, domain, host,
+    status_code) that the row sums over, so a NULL key of a row is told from a level's missing key. Distinct URLs are
+    counted per level in the same expand."""
+    host = F.lower(F.try_parse_url(F.col("url"), F.lit("HOST")))
+    labels = F.split(host, r"\.")
+    keyed = rows.select(
+        F.element_at(labels, -1).alias("tld"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"),
+        host.alias("host"), "status_code", "url", byte_length("clean_text").alias("_bytes"), F.size("links").alias("_links"), "error")
+    names = ROLLUP[0]
+    return keyed.groupingSets([[F.col(c) for c in level] for level in ROLLUP], *[F.col(c) for c in names]).agg(
+        F.grouping_id(*names).cast("long").alias("level_id"),
+        F.count(F.lit(1)).alias("pages"), F.count_distinct("url").alias("urls"),
+        F.sum("_bytes").cast("long").alias("bytes"), F.sum("_links").cast("long").alias("links"), F.count("error").alias("failures"))
+
+
 def summary_metrics(responses: DataFrame) -> DataFrame:
     """M2: per model and style: rows, bytes in / out, tokens, failures."""
     return responses.groupBy("model", "style").agg(

@@ -7,22 +7,28 @@ given as scalar columns (joined text, counts) so results compare by value.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import byte_length, clean_lines, validate_content, word_count
 from ..operators import agent as A
 from ..operators import completers as C
 from ..operators import metrics as M
 from ..operators import pages as P
+from ..operators import sketches as K
+from ..operators import snapshots
 from ..operators import summarize as S
+from ..operators.table_tools import table_tool
+from ..session import written_table
 from ..sources import derived as D
 from ..sources import tables
 from .answer import answer_requests, call_outcomes, decide, default_registry, library_registry
-from .stream_queries import stream_answer_q, stream_extract_q, stream_sessions_q
+from .stream_queries import stream_answer_q, stream_extract_q, stream_host_windows_q, stream_line_sessions_q, stream_sessions_q, stream_summary_windows_q
 
 # The given tables are one row group each, so the queries ask for spread scans.
 load_pages = partial(tables.load_pages, spread=True)
@@ -410,6 +416,71 @@ def extract_metrics(spark, sf):
     return M.extract_metrics(rows)
 
 
+def extract_rollup(spark, sf):
+    rows, _ = _batch_rows(spark, sf)
+    return M.extract_rollup(rows)
+
+
+def _day(events: DataFrame, rows: DataFrame, number) -> DataFrame:
+    return D.with_event_time(rows, events, number, "at").withColumn("day", F.to_date("at"))
+
+
+def _page_sketches(spark, sf) -> DataFrame:
+    """M1's sketches per host and day, stored."""
+    dated = _day(tables.load_events(spark, sf), _records(spark, sf), F.col("page_id") * 7)
+    host = F.try_parse_url(F.col("url"), F.lit("HOST"))
+    return written_table(K.stored_sketches(dated, {"host": host, "day": F.col("day")}, F.col("url"), byte_length("clean_text"), links=F.size("links")), "page-sketches")
+
+
+def host_sketches(spark, sf):
+    """Per host and for all hosts: pages, links, distinct URLs and quantiles of the text sizes, from the stored sketches alone."""
+    stored = _page_sketches(spark, sf)
+    hosts = K.merged_sketches(stored, ["host"], ["links"])
+    whole = K.merged_sketches(hosts, [], ["links"]).withColumn("host", F.lit("*"))
+    return hosts.unionByName(whole).select(
+        "host", F.col("rows").alias("pages"), "links", K.distinct_count().alias("urls"), K.size_quantile(0.5).alias("p50_bytes"), K.size_quantile(0.95).alias("p95_bytes"))
+
+
+def summary_sketches(spark, sf):
+    """M2 per model, merged from sketches per model, style and day: responses, distinct summaries, quantiles of their sizes."""
+    dated = _day(tables.load_events(spark, sf), _summaries(spark, sf).where(F.col("error").isNull()), F.col("request_id") * 11)
+    stored = K.stored_sketches(dated, {"model": F.col("model"), "style": F.col("style"), "day": F.col("day")}, F.col("summary"), F.col("summary_size"))
+    return K.merged_sketches(written_table(stored, "summary-sketches"), ["model"]).select(
+        "model", "rows", K.size_quantile(0.5).alias("p50_bytes"), K.size_quantile(0.99).alias("p99_bytes"))
+
+
+def snapshot_difference(spark, sf):
+    return snapshots.snapshot_difference(*D.page_snapshots(tables.load_pages(spark, sf)))
+
+
+def top_keywords_salted(spark, sf):
+    req = _requests(spark, sf)
+    top = C.top_keywords(req, hot=C.hot_terms(req))
+    return top.select("request_id", F.col("rank").cast("long").alias("rank"), "term", "weight")
+
+
+def count_words(text: str | None, least: int | None):
+    """Rows of the word counting tool: every word of at least ``least`` places, in order of its first place."""
+    found: dict[str, int] = {}
+    for word in re.findall(r"[^\W_]+", (text or "").lower()):
+        found[word] = found.get(word, 0) + 1
+    return ((w, n) for w, n in found.items() if n >= (least or 1))
+
+
+def counting_registry() -> A.ToolRegistry:
+    return A.ToolRegistry().register(table_tool(
+        "count_words", "Count the words of a text", {"text": ("string", "The text"), "least": ("integer", "Optional least number of places")}, ["text"],
+        {"word": T.StringType(), "places": T.LongType()}, count_words))
+
+
+def table_tool_calls(spark, sf):
+    """A12 with a tool that is a table function: the words of every user turn."""
+    registry = counting_registry()
+    calls = A.validate_calls(D.counting_calls(_user_requests(spark, sf)), registry.catalog(spark)).where(F.col("validation_error").isNull())
+    out = A.run_calls(calls, registry, {})
+    return out.select("request_id", F.col("call_idx").cast("long").alias("call_idx"), "is_error", "result")
+
+
 def summary_metrics(spark, sf):
     return M.summary_metrics(_summaries(spark, sf))
 
@@ -467,9 +538,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "post_process": post_process,
     "answer_requests": answer_requests_q,
     "extract_metrics": extract_metrics,
+    "extract_rollup": extract_rollup,
+    "host_sketches": host_sketches,
+    "summary_sketches": summary_sketches,
+    "snapshot_difference": snapshot_difference,
+    "top_keywords_salted": top_keywords_salted,
+    "table_tool_calls": table_tool_calls,
     "summary_metrics": summary_metrics,
     "agent_metrics": agent_metrics,
     "stream_extract": stream_extract_q,
     "stream_sessions": stream_sessions_q,
     "stream_answer": stream_answer_q,
+    "stream_host_windows": stream_host_windows_q,
+    "stream_summary_windows": stream_summary_windows_q,
+    "stream_line_sessions": stream_line_sessions_q,
 }

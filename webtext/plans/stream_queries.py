@@ -6,14 +6,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.completers import replay_completer
+from ..functions.text import byte_length, validate_content, word_count
+from ..operators import summarize as S
+from ..operators.completers import lead_text, replay_completer
+from ..operators.pages import extract_pages
 from ..session import scratch_path
 from ..sources import derived as D
-from ..sources.tables import load_documents, load_events, load_pages, page_columns
+from ..sources.tables import load_conversations, load_documents, load_events, load_pages, page_columns
 from ..streaming.answers import decided_requests, split_decided
 from ..streaming.sessions import CHANGES, kept_lines, rocksdb_state, session_changes
 from ..streaming.streams import file_stream, run_to_parquet, stream_extract, write_epochs
+from ..streaming.windows import host_windows, latest_windows, line_sessions, summary_windows
 from .answer import answer_requests, library_registry
 
 
@@ -68,13 +73,13 @@ def stream_sessions_q(spark: SparkSession, sf: str) -> DataFrame:
 DELAY, WAIT, BEAT, BEAT_ID = "31 days", "1 hour", "INTERVAL 100 days", "beat"
 
 
-def _staged(rows: DataFrame, time_col: str, path: str, files: int) -> DataFrame:
+def _staged(rows: DataFrame, time_col: str, path: str, files: int, key: str = "request_id") -> DataFrame:
     """``rows`` as a stream of files, then a beat far after the last time. (It has an id:
     Spark drops rows that can't join before they count for the watermark.)"""
-    rows.repartition(files, F.xxhash64(F.lit(files), "request_id")).write.parquet(path)
+    rows.repartition(files, F.xxhash64(F.lit(files), key)).write.parquet(path)
     stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
     beat = stored.agg((F.coalesce(F.max(time_col), F.current_timestamp()) + F.expr(BEAT)).alias(time_col))
-    columns = {time_col: F.col(time_col), "request_id": F.lit(BEAT_ID)}
+    columns = {time_col: F.col(time_col)} | ({key: F.lit(BEAT_ID)} if rows.schema[key].dataType == T.StringType() else {})
     beat.select(*[columns.get(c, F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
     return file_stream(rows.sparkSession, path, rows.schema)
 
@@ -100,3 +105,38 @@ def stream_answer_q(spark: SparkSession, sf: str) -> DataFrame:
     joined = decided_requests(requests, decisions, DELAY, WAIT)
     write_epochs(joined, answer, base + "/data", base + "/checkpoint").awaitTermination()
     return spark.read.parquet(base + "/data").drop("epoch_id")
+
+
+# -- M1-M3 in windows of event time -----------------------------------------------
+
+
+def _run_windows(spark: SparkSession, windows: DataFrame, name: str, mode: str = "update") -> DataFrame:
+    """Runs a windowed stream to its end; all versions of its windows."""
+    base = scratch_path(spark, name)
+    write_epochs(windows, lambda batch, epoch: batch, base + "/data", base + "/checkpoint", mode).awaitTermination()
+    return spark.read.schema(windows.schema.add("epoch_id", "long")).parquet(base + "/data")
+
+
+def stream_host_windows_q(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 per day, host and status; a page was fetched at event ``page_id * 7``."""
+    pages = D.with_event_time(page_columns(_stream(spark, sf, "pages")), _events(spark, sf), F.col("page_id") * 7, "fetched_at")
+    records = extract_pages(pages, keep=["page_id", "fetched_at"])
+    return latest_windows(_run_windows(spark, host_windows(records, "fetched_at", delay=DELAY), "host-windows"), ["window_start", "window_end", "host", "status_code"])
+
+
+def stream_summary_windows_q(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 per day and style of the lead summaries; a document came at event ``doc_id * 11``."""
+    docs = D.with_event_time(_stream(spark, sf, "documents"), _events(spark, sf), F.col("doc_id") * 11, "at")
+    own = docs.select("at", F.col("text").alias("content"), (F.col("doc_id") % 4 * 50).cast("int").alias("max_length"), D.summary_style().alias("style"))
+    own = S.request_defaults(own.withColumn("language", F.lit("")))
+    summary = lead_text(F.col("content"), F.col("max_length"))
+    sized = own.select("at", "style", byte_length("content").alias("original_size"), byte_length(summary).alias("summary_size"), word_count(summary).alias("tokens_used"),
+                       validate_content(F.col("content"), word_count(F.col("content"))).alias("error"))
+    return latest_windows(_run_windows(spark, summary_windows(sized, "at", delay=DELAY), "summary-windows"), ["window_start", "window_end", "style"])
+
+
+def stream_line_sessions_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of user lines that are at most ten minutes apart, closed by a beat after all lines."""
+    lines = D.with_event_time(load_conversations(spark, sf).where(F.col("role") == "user"), _events(spark, sf), F.pmod(F.col("conv_id"), F.lit(1000003)) * 31 + F.pmod(F.col("turn"), F.lit(1009)), "at")
+    staged = _staged(lines.select("conv_id", "text", "at"), "at", scratch_path(spark, "lines"), 4, "conv_id")
+    return _run_windows(spark, line_sessions(staged, "at", "10 minutes", DELAY), "line-sessions", "append").drop("epoch_id")

@@ -41,16 +41,19 @@ def pages_with_media(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", html)
 
 
+def summary_style() -> Column:
+    return F.element_at(F.array(*[F.lit(s) for s in ["", "concise", "detailed", "bullet_points", "haiku"]]), (F.col("doc_id") % 5 + 1).cast("int"))
+
+
 def summary_requests(docs: DataFrame) -> DataFrame:
     """One summary request per document: max_length 0/50/100/150 by ``doc_id % 4``,
     style ''/concise/detailed/bullet_points/haiku by ``doc_id % 5``, language
     = the document's language unless ``doc_id % 3 = 0``."""
-    styles = F.array(*[F.lit(s) for s in ["", "concise", "detailed", "bullet_points", "haiku"]])
     return docs.select(
         F.col("doc_id").alias("request_id"),
         F.col("text").alias("content"),
         ((F.col("doc_id") % 4) * 50).cast("int").alias("max_length"),
-        F.element_at(styles, (F.col("doc_id") % 5 + 1).cast("int")).alias("style"),
+        summary_style().alias("style"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("lang")).alias("language"),
     )
 
@@ -134,6 +137,18 @@ def page_responses(pages: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def page_snapshots(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two crawls: the first holds every page ``1 + page_id % 3`` times, the second ``page_id % 4`` times,
+    with another content (a comment at the end) where ``page_id % 5 = 0``."""
+    def copies(n: Column) -> Column:
+        return F.explode(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array()))
+
+    before = pages.withColumn("copy", copies(F.col("page_id") % 3 + 1))
+    after = pages.withColumn("copy", copies(F.col("page_id") % 4))
+    after = after.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("<!-- second crawl -->"))).otherwise(F.col("html")))
+    return before.drop("copy"), after.drop("copy")
+
+
 def dated_items(batches: DataFrame, events: DataFrame) -> DataFrame:
     """URLs of batches (batch_id, idx, url), each requested at event ``(batch_id * 13 + idx) * 17``; no time where ``(batch_id + idx) % 11 = 0``."""
     items = batches.select("batch_id", F.posexplode("urls").alias("idx", "url"))
@@ -264,3 +279,14 @@ def decisions(requests: DataFrame, pages: DataFrame) -> DataFrame:
         none.alias("model"), zero.alias("prompt_tokens"), zero.alias("completion_tokens"), zero.alias("total_tokens"),
         F.when(k == 19, F.lit("boom")).alias("error"),
     )
+
+
+def counting_calls(requests: DataFrame) -> DataFrame:
+    """A call of the word counting tool per request: its text, and ``least`` = 1 + seed % 2 where seed % 3 > 0."""
+    least = F.when(request_seed() % 3 > 0, (1 + request_seed() % 2).cast("string"))
+    entry = "struct<kind:string,text:string>"
+    args = F.map_from_arrays(
+        F.when(least.isNotNull(), F.array(F.lit("text"), F.lit("least"))).otherwise(F.array(F.lit("text"))),
+        F.when(least.isNotNull(), F.array(F.struct(F.lit("string").alias("kind"), F.col("user_text").alias("text")), F.struct(F.lit("number").alias("kind"), least.alias("text")))).otherwise(
+            F.array(F.struct(F.lit("string").alias("kind"), F.col("user_text").alias("text")))))
+    return requests.select("request_id", F.lit(1).alias("call_idx"), F.lit("count_words").alias("name"), args.cast(f"map<string,{entry}>").alias("arguments"))

@@ -404,3 +404,20 @@ def test_queries_without_reference_sql(spark, tmp_path):
     got = answer("op10_packing", "doc_id start length ids_crc32 doc_tokens sequence_id offset")
     assert sorted((str(g.doc_id), g.start, g.length, g.ids_crc32) for g in got) == sorted(
         (d, s, n, zlib.crc32(np.array(i[s:s + n], "<u4").tobytes())) for d, t in docs for i in [tokenizer.encode(t, add_special_tokens=False).ids + [1]] for s, n in packing.cuts(len(i), 2048, 2048))
+
+
+def test_a_long_conversation_of_one_turn_number(spark):
+    """Rows without an id and a turn are one block; their texts are merged in one pass."""
+    import time
+
+    def made(n):
+        rows = spark.range(n).selectExpr("cast(null as long) conv_id", "cast(null as long) turn", "if(id % 3 = 0, 'user', 'assistant') role", "concat('t', id) text")
+        start = time.perf_counter()
+        got = chat_format.read_back(chat_format.format_conversations(rows)).first()
+        return got, time.perf_counter() - start
+
+    made(100)
+    got, small = made(4000)
+    assert len(got.turns) == 4000 and got.loss_text.count("t") == 2666
+    _, large = made(32000)
+    assert large < 24 * max(small, 0.5)

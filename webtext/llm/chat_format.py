@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from webtext.llm.common import table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
-SEGMENT = "struct<text:string,loss:boolean>"
 
 
 def escape(text: Column) -> Column:
@@ -67,18 +66,16 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     )
     off = F.lit(False)
 
-    def merge(acc: Column, t: Column) -> Column:
-        """Append a turn: a separator after a turn of the same role, else close the block and open one."""
-        between = F.when(acc["last"] == t["role"], F.lit(SEP)).otherwise(F.concat(F.lit(END), _opening(t["role"])))
+    def merged(t: Column, i: Column) -> Column:
+        """A turn's segments: before its text a separator after a turn of the same role, else the end of a block and a new opening."""
+        before = F.get("turns", i - 1)["role"]
+        between = F.when(before == t["role"], F.lit(SEP)).otherwise(F.concat(F.lit(END), _opening(t["role"])))
         own = _segment(escape(t["text"]), t["role"] == loss_role)
-        return F.struct(
-            F.coalesce(acc["first"], t["role"]).alias("first"), t["role"].alias("last"),
-            F.when(acc["first"].isNull(), F.array(own)).otherwise(F.concat(acc["segments"], F.array(_segment(between, off), own))).alias("segments"),
-        )
+        return F.when(i == 0, F.array(own)).otherwise(F.array(_segment(between, off), own))
 
-    empty = F.expr(f"named_struct('first', cast(null as string), 'last', cast(null as string), 'segments', cast(array() as array<{SEGMENT}>))")
     blocks = turns.groupBy("conv", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    blocks = blocks.select("conv", "block", F.aggregate("turns", empty, merge).alias("b")).select("conv", F.struct("block", "b.first", "b.last", "b.segments").alias("part"))
+    ends = F.element_at("turns", 1)["role"].alias("first"), F.element_at("turns", -1)["role"].alias("last")
+    blocks = blocks.select("conv", F.struct("block", *ends, F.flatten(F.transform("turns", merged)).alias("segments")).alias("part"))
     convs = blocks.groupBy("conv").agg(F.sort_array(F.collect_list("part")).alias("parts"))
 
     def joined(part: Column, i: Column) -> Column:

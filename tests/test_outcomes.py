@@ -111,3 +111,18 @@ def test_terms_outside_an_external_corpus_count(spark):
     schema = "request_id long, content string"
     own, corpus = spark.createDataFrame([(1, "red fox")], schema), spark.createDataFrame([(7, "red"), (8, "red")], schema)
     assert {r.term: r.weight for r in term_weights(own, corpus).collect()} == {"red": 500000, "fox": 1000000}
+
+
+def test_request_keys_of_any_ids(spark):
+    """Keys of the largest ids and turns are distinct, and answers derived from them are joined by key."""
+    from webtext.operators.completers import replay_completer
+    from webtext.plans.answer import answer_requests, library_registry
+    from webtext.sources import derived as D
+
+    lines = [(c, t, "user", f"{c} {t}") for c in (0, 3_000_000_000, 2**63 - 1, -(2**63), -1) for t in (0, 1, 2**32, 2**62)]
+    req = D.user_requests(spark.createDataFrame(lines, "conv_id long, turn long, role string, text string")).drop("conv_id", "turn")
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<title>t{i}</title>") for i in range(7)], "page_id long, url string, html string").selectExpr("*", "200 status_code", "'text/html' content_type")
+    docs = spark.createDataFrame([(i, f"d{i}", "s", 2) for i in range(7)], "doc_id long, text string, source string, n_chars long")
+    got = answer_requests(req, D.decisions(req, pages), library_registry(), {"pages": pages, "documents": docs}, replay_completer(D.post_completions(req))).collect()
+    assert {r.request_id for r in got} == {f"{c}:{t}" for c, t, *_ in lines} and len(got) == 20
+    assert any(r.tool_output for r in got) and any(r.error for r in got)

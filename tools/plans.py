@@ -17,7 +17,8 @@ from webtext.plans import queries as Q  # noqa: E402
 from webtext.session import build_session  # noqa: E402
 
 KEYS = ["page_record", "extract_batch", "top_keywords", "extractive_summary", "session_turns",
-        "validate_calls", "answer_requests", "extract_metrics"]
+        "validate_calls", "answer_requests", "extract_metrics", "extract_batch_as_of", "top_keywords_salted",
+        "host_sketches", "extract_rollup", "snapshot_difference"]
 KEEP = re.compile(r"Scan|Exchange|Join|Aggregate|Window|MapInArrow|ArrowEvalPython|Generate|Filter|PushedFilters|ReadSchema|Reused")
 
 

@@ -108,8 +108,9 @@ def batch_completer(fn: Callable, model: str) -> Callable[[DataFrame], DataFrame
                     out = pd.DataFrame({"request_id": pdf["request_id"], "text": None, "error": str(exc)})
                 yield out
 
+        key = requests.schema["request_id"].dataType.simpleString()
         got = requests.select("request_id", "prompt").mapInPandas(
-            per_batch, "request_id long, text string, error string"
+            per_batch, f"request_id {key}, text string, error string"
         )
         failure = F.when(F.col("error").isNotNull(), F.lit("transport")).when(F.col("text").isNull(), F.lit("no_choices"))
         pt = word_count(F.col("prompt"))
@@ -276,7 +277,9 @@ def extractive_summaries(requests: DataFrame, corpus: DataFrame | None = None) -
     found = sentences.select("request_id", "at", F.explode_outer("terms").alias("term"))
     per_term = found.groupBy("request_id", F.coalesce("term", F.lit("")).alias("term")).agg(F.collect_list("at").alias("positions"))
     weights = _weights(per_term.withColumn("tf", F.size("positions")), corpus, extra=("positions",))
-    weights = weights.select("request_id", F.when(F.col("term") == "", 0).otherwise(F.col("weight")).alias("weight"), F.explode("positions").alias("at"))
+    # back by request as one row per term; positions are exploded after the shuffle, and both aggregates keep its partitioning
+    weights = weights.select("request_id", F.when(F.col("term") == "", 0).otherwise(F.col("weight")).alias("weight"), "positions").repartition("request_id")
+    weights = weights.select("request_id", "weight", F.explode("positions").alias("at"))
     scores = weights.groupBy("request_id", "at").agg(F.sum("weight").alias("score"))
     ranked = scores.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "at.pos", "at.n_words"))).alias("_r"))
     # the chosen sentences are the first ones of the ranking: one pass counts them

@@ -421,3 +421,23 @@ def test_a_long_conversation_of_one_turn_number(spark):
     assert len(got.turns) == 4000 and got.loss_text.count("t") == 2666
     _, large = made(32000)
     assert large < 24 * max(small, 0.5)
+
+
+def test_many_rules_of_one_host(spark):
+    """5,000 path rules of one host, nested and apart: no row holds them all, and the longest one wins."""
+    rng = random.Random(11)
+    paths = sorted({"/" + "/".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(5000)})
+    rules = spark.createDataFrame([("big.net", p, "block" if i % 2 else "allow") for i, p in enumerate(paths)] + [("net", "/a", "block")], "host string, path string, action string")
+    urls = ["http://x.big.net/" + "/".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(400)] + ["http://big.net/zzz"] * 3
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, ranges=9).collect()}
+    action = {p: "block" if i % 2 else "allow" for i, p in enumerate(paths)}
+    for i, url in enumerate(urls):
+        path = url.split(".net", 1)[1]
+        best = max((path[:n] for n in range(1, len(path) + 1) if path[:n] in action), key=len, default=None)
+        want = ("big.net" + best, action[best]) if best else ("net/a", "block") if path.startswith("/a") else (None, "allow")
+        assert got[i] == want
+    keys = rules.selectExpr("concat('net.big.', chr(0), path) key").where("path is not null")
+    from pyspark.sql import functions as F
+    longest = url_filter.chains(keys, F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substr("key", F.lit(1), n))).agg(F.max(F.size("chain"))).first()[0]
+    assert longest <= 7

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtext.llm.common import ship, table
-from webtext.llm.occurrences import ROW, frequent_keys, occurrences, row_batches
+from webtext.llm.occurrences import ROW, frequent_keys, occurrences, row_batches, slices
 from webtext.llm.ranges import document_rows, merged_ranges, without_ranges
 
 SMALLEST, LARGEST, SPREAD, LEAST = 16, 256, 17, 80
@@ -73,7 +73,7 @@ def chunk_rows(rows: DataFrame, hot: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.array(sorted(hot), np.int64)
-        for b in batches:
+        for b in slices(batches):
             doc, at, size, digests = [], [], [], []
             for i, data in enumerate(b.column(2)):
                 data = data.as_py()

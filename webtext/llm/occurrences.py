@@ -18,11 +18,18 @@ from pyspark.sql import functions as F
 
 from webtext.llm.common import materialise
 
-SALTS, HOT, SAMPLE = 64, 1000, 64
+SALTS, HOT, SAMPLE, SLICE = 64, 1000, 64, 256
 ROW = "key long, salt int, value long, doc_id long, tag long, at int, size int"
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE documents: a worker holds the rows of one slice at a time."""
+    for b in batches:
+        for s in range(0, b.num_rows, SLICE):
+            yield b.slice(s, SLICE)
+
+
 def row_batches(b: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, value: np.ndarray, at: np.ndarray, size: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of the documents of a batch (doc_id, tag, ...); doc: their places in the batch."""
     tags, ids = b.column(1).to_numpy()[doc], pc.fill_null(b.column(0), 0).to_numpy()[doc]

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtext.llm.common import materialise, ship, table
-from webtext.llm.occurrences import ROW, frequent_keys, occurrences, row_batches
+from webtext.llm.occurrences import ROW, frequent_keys, occurrences, row_batches, slices
 from webtext.llm.ranges import cut_texts, document_rows, merged_ranges, without_ranges
 
 LENGTH, GRAM = 100, 32
@@ -116,7 +116,7 @@ def anchor_rows(rows: DataFrame, hot: list[int], length: int = LENGTH) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.array(sorted(hot), np.int64)
-        for b in batches:
+        for b in slices(batches):
             doc, at, anchor, digests = [], [], [], []
             for i, data in enumerate(b.column(2)):
                 data = data.as_py()

@@ -189,14 +189,24 @@ def _term_counts(sentences: DataFrame) -> DataFrame:
     )
 
 
-def _weights(tf: DataFrame, corpus: DataFrame | None, extra: tuple[str, ...] = ()) -> DataFrame:
+def _frequencies(docs: DataFrame) -> DataFrame:
+    """``df`` of every term of the texts (request_id, content), whose ids are keys: a text's terms
+    are made distinct in place, so only partial counts per term are shuffled."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_RE), 0))
+    found = docs.select(F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _weights(tf: DataFrame, corpus: DataFrame | None, extra: tuple[str, ...] = (), dfreq: DataFrame | None = None) -> DataFrame:
     """Join ``df`` to the term counts. ``df`` is counted from ``tf`` itself, so
     both consumers share one exchange and the texts are tokenized once. It is the only term-keyed shuffle and combines map-side,
     so a term found in most documents ships one partial count per partition.
     The join is broadcast by adaptive execution when the measured vocabulary
     is small, else a sort-merge join whose hot-term partitions adaptive skew
-    handling splits."""
-    if corpus is None:
+    handling splits. ``dfreq`` gives (term, df) where the caller has it; other terms count as one text's."""
+    if dfreq is not None:
+        corpus = dfreq
+    elif corpus is None:
         # ``sum(tf)`` keeps the term-count aggregate itself in this branch
         # (a plain count would be pruned to a distinct), so both consumers of
         # ``tf`` share one exchange and the texts are tokenized once.
@@ -276,7 +286,9 @@ def extractive_summaries(requests: DataFrame, corpus: DataFrame | None = None) -
     sentences = sentence_table(docs).select("request_id", at.alias("at"), "terms").repartition("request_id")
     found = sentences.select("request_id", "at", F.explode_outer("terms").alias("term"))
     per_term = found.groupBy("request_id", F.coalesce("term", F.lit("")).alias("term")).agg(F.collect_list("at").alias("positions"))
-    weights = _weights(per_term.withColumn("tf", F.size("positions")), corpus, extra=("positions",))
+    # counting df from the texts costs a second pass over them, less than the same lists of positions twice
+    dfreq = _frequencies(docs) if corpus is None else None
+    weights = _weights(per_term.withColumn("tf", F.size("positions")), corpus, ("positions",), dfreq)
     # back by request as one row per term; positions are exploded after the shuffle, and both aggregates keep its partitioning
     weights = weights.select("request_id", F.when(F.col("term") == "", 0).otherwise(F.col("weight")).alias("weight"), "positions").repartition("request_id")
     weights = weights.select("request_id", "weight", F.explode("positions").alias("at"))

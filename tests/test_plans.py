@@ -61,22 +61,23 @@ def test_streams_equal_batch(spark):
 def test_stream_sessions_late_turns(spark, tmp_path):
     """State is the exit turn: a turn arriving in a later micro-batch is kept
     iff it comes before the exit; the restarted query resumes from its checkpoint."""
-    from webtext.streaming.streams import stream_sessions
+    from webtext.streaming.sessions import CHANGES, kept_lines, rocksdb_state, session_changes
+    from webtext.streaming.streams import write_epochs
 
     schema = "conv_id long, turn long, text string"
     src, out, ck = tmp_path / "turns", tmp_path / "out", tmp_path / "ck"
+    at = "timestamp '2024-01-01 00:00:00' as at"
 
     def run():
-        stream = spark.readStream.schema(schema).parquet(str(src / "*"))
-        q = (stream_sessions(stream).writeStream.format("parquet").option("path", str(out))
-             .option("checkpointLocation", str(ck)).outputMode("append").trigger(availableNow=True).start())
-        q.awaitTermination()
+        stream = spark.readStream.schema(schema).parquet(str(src / "*")).selectExpr("*", at)
+        with rocksdb_state(spark):
+            write_epochs(session_changes(stream, "at"), lambda batch, epoch: batch, str(out), str(ck), "update").awaitTermination()
 
     spark.createDataFrame([(1, 0, "a"), (1, 3, "exit"), (1, 4, "after")], schema).write.parquet(str(src / "b1"))
     run()
     spark.createDataFrame([(1, 1, "late but before exit"), (1, 5, "late after exit")], schema).write.parquet(str(src / "b2"))
     run()
-    got = sorted((r.turn, r.text) for r in spark.read.parquet(str(out)).collect())
+    got = sorted((r.turn, r.text) for r in kept_lines(spark.read.schema(CHANGES + ", epoch_id long").parquet(str(out))).collect())
     assert got == [(0, "a"), (1, "late but before exit")]
 
 

@@ -34,37 +34,46 @@ class SessionProcessor(StatefulProcessor):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        # every access is a round trip to the state store, so what is read together is one value
         self.handle = handle
-        self.exit = handle.getValueState("exit", "turn long")
-        self.newest = handle.getValueState("newest", "at_ms long")
+        self.head = handle.getValueState("head", "exit_turn long, newest_ms long")
         self.shown = handle.getMapState("shown", "block long", "turns array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        exit_turn = self.exit.get()[0] if self.exit.exists() else None
-        newest = self.newest.get()[0] if self.newest.exists() else None
+        head = self.head.get()
+        exit_turn, before = head if head is not None else (None, None)
+        newest, fresh = before, {} if head is None else None
         for part in rows:  # one Arrow batch at a time
             at = int(part["at_ms"].max())
             newest = at if newest is None else max(newest, at)
             exits = part.loc[part["is_exit"], "turn"]
             if len(exits) and (exit_turn is None or int(exits.min()) < exit_turn):
                 exit_turn = int(exits.min())
-                self.exit.update((exit_turn,))
-                yield from self._retract(key[0], exit_turn)
+                yield from self._retract(key[0], exit_turn, fresh)
             lines = part[~part["is_exit"]]
             if exit_turn is not None:
                 lines = lines[lines["turn"] < exit_turn]
             if len(lines):
-                for block, turns in lines.groupby(lines["turn"] // BLOCK)["turn"]:
-                    known = self.shown.getValue((int(block),))
-                    self.shown.updateValue((int(block),), (sorted({*(known[0] if known else ()), *turns.tolist()}),))
+                self._show(lines["turn"], fresh)
                 yield pd.DataFrame({"conv_id": key[0], "turn": lines["turn"], "text": lines["text"], "change": LINE})
-        if newest is not None:
-            self.newest.update((newest,))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(newest + self.gap_ms)
-
-    def _retract(self, conv_id: int, exit_turn: int) -> Iterator[pd.DataFrame]:
+        if newest is not None and (exit_turn, newest) != (head if head is not None else None):
+            self.head.update((exit_turn, newest))
+            if newest != before:
+                if before is not None:
+                    self.handle.deleteTimer(before + self.gap_ms)
+                self.handle.registerTimer(newest + self.gap_ms)
+
+    def _show(self, turns: pd.Series, fresh: dict | None) -> None:
+        """Adds turns to the blocks; ``fresh`` marks a new session, whose blocks not in it are known to be empty."""
+        for block, own in turns.groupby(turns // BLOCK):
+            known = self.shown.getValue((int(block),)) if fresh is None or block in fresh else None
+            self.shown.updateValue((int(block),), (sorted({*(known[0] if known else ()), *own.tolist()}),))
+            if fresh is not None:
+                fresh[block] = True
+
+    def _retract(self, conv_id: int, exit_turn: int, fresh: dict | None) -> Iterator[pd.DataFrame]:
+        if fresh == {}:  # nothing was put out
+            return
         first = exit_turn // BLOCK
         for (block,) in [k for k in self.shown.keys() if k[0] >= first]:
             turns = list(self.shown.getValue((block,))[0])
@@ -79,8 +88,7 @@ class SessionProcessor(StatefulProcessor):
             yield pd.DataFrame({"conv_id": conv_id, "turn": gone, "text": None, "change": RETRACTED})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.exit.clear()
-        self.newest.clear()
+        self.head.clear()
         self.shown.clear()
         yield pd.DataFrame({"conv_id": [], "turn": [], "text": [], "change": []}).astype({"conv_id": "int64", "turn": "int64", "text": object, "change": object})
 
@@ -88,19 +96,28 @@ class SessionProcessor(StatefulProcessor):
         pass
 
 
+#: Timers and map state need RocksDB. All its stores of an executor share one bound of memory, whatever their number.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
 @contextmanager
 def rocksdb_state(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB, which timers and map state need; the session's own setting returns."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Queries started inside keep their state in RocksDB (STATE_STORE); the session's own settings return."""
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def session_changes(lines: DataFrame, time_col: str, delay: str = "2 days", gap_seconds: int = 86400) -> DataFrame:

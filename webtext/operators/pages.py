@@ -175,11 +175,12 @@ def _records_of(targets: DataFrame, pages: DataFrame) -> DataFrame:
     html = pages.select("url", "_key", "html", "status_code", "content_type")
     n = targets.count()
     if n * TARGET_BYTES > _broadcast_limit(spark):
-        html = wanted_rows(html, targets, ["url", "_key"], n)
-    hits = html.join(targets, ["url", "_key"])
-    # parsing is CPU-bound, so hits go to all cores, not to as few tasks as their bytes need
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return extract_pages(hits.repartition(tasks, "url", "_sel"), keep=["_key", "_sel"], selector=F.nullif(F.col("_sel"), F.lit("")))
+        hits = wanted_rows(html, targets, ["url", "_key"], n).join(targets, ["url", "_key"])
+    else:
+        # parsing is CPU-bound and these hits are few: they go to all cores, not to the few tasks that found them
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        hits = html.join(targets, ["url", "_key"]).repartition(tasks, "url", "_sel")
+    return extract_pages(hits, keep=["_key", "_sel"], selector=F.nullif(F.col("_sel"), F.lit("")))
 
 
 def _with_records(requests: DataFrame, recs: DataFrame, on: list[str]) -> DataFrame:

@@ -93,3 +93,20 @@ def test_spread_scan_only_spreads_small_scans(spark, tmp_path):
     wide = spark.read.option("maxPartitionBytes", 1).parquet(many)
     if wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
         assert spread_scan(wide) is wide
+
+
+def test_worker_holds_few_pages_of_a_large_batch():
+    """A batch of many pages goes out in slices bounded by rows and HTML bytes, every page once and in order."""
+    import pyarrow as pa
+
+    from webtext.operators.pages import EXTRACT_BYTES, EXTRACT_ROWS, _extract_batches
+
+    big = "<title>b</title>" + "x" * (EXTRACT_BYTES // 2)
+    htmls = [big if i % 100 < 3 else None if i % 7 == 0 else f"<title>t{i}</title>" for i in range(1000)]
+    batch = pa.record_batch({"page_id": list(range(1000)), "url": [f"http://h/{i}" for i in range(1000)], "html": htmls})
+    got = list(_extract_batches(iter([batch, batch.slice(0, 0)])))
+    assert [i for b in got for i in b.column("page_id").to_pylist()] == list(range(1000))
+    assert max(b.num_rows for b in got) <= EXTRACT_ROWS
+    titles = [t for b in got for t in b.column("title").to_pylist()]
+    assert titles == ["b" if h is big else "" if h is None else f"t{i}" for i, h in enumerate(htmls)]
+    assert all(sum(len(htmls[i] or "") for i in b.column("page_id").to_pylist()) <= EXTRACT_BYTES for b in got if b.num_rows > 1)

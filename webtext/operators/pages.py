@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,14 +50,32 @@ _ARROW_FIELDS = [
 ]
 
 PREVIEW_BYTES = 500
+EXTRACT_ROWS, EXTRACT_BYTES = 64, 4 << 20  # pages whose records a worker holds at a time, and their HTML
 #: a wanted (url, key, selector) in a broadcast table, about; decides the way to the hits, not the hits
 TARGET_BYTES = 200
 
 
+def _page_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most EXTRACT_ROWS pages and, but for a single larger page, EXTRACT_BYTES of HTML.
+
+    A batch has up to 10,000 rows at the default of ``spark.sql.execution.arrow.maxRecordsPerBatch``;
+    its pages as Python objects and all their records would be many times its size."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("html")), 0).to_pylist()
+        start = held = 0
+        for i, size in enumerate(sizes):
+            if i > start and (i - start == EXTRACT_ROWS or held + size > EXTRACT_BYTES):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < len(sizes):
+            yield batch.slice(start)
+
+
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from webtext.functions.extract import extract  # imported on the executor
 
-    for batch in batches:
+    for batch in _page_slices(batches):
         cols = batch.to_pydict()
         urls, htmls = cols["url"], cols["html"]
         sels = cols.get("_selector") or [None] * len(urls)

@@ -72,3 +72,55 @@ def test_extractive_and_keywords(spark):
     assert got[1] in ("Dogs bark loudly at cats.", "Cats purr. Birds sing.", "Cats purr.", "Birds sing.")
     top = C.top_keywords(req).filter("request_id = 1").orderBy("rank").collect()
     assert top[0].term == "cats" and len(top) <= 10  # tf 2, df 1 -> highest weight
+
+
+def odd_requests(spark):
+    """Requests that share an id or have none, null and empty texts, sentences without terms."""
+    rows = [(i % 23 if i % 5 else 100 + i, " ".join(f"w{(i * k) % 19} Und{k % 3} t{i}" + ".!\n"[k % 3] for k in range(i % 9)) + (" --- . !" if i % 4 == 0 else ""), i % 3 * 4, "concise", "") for i in range(90)]
+    rows += [(None, "lost red fox. red end", 3, "concise", ""), (None, "lost end", 0, "concise", ""), (900, None, 5, "concise", ""), (901, "", 5, "", ""), (902, "?! -- .", 5, "", "")]
+    return rows, spark.createDataFrame(rows, REQ).repartition(5)
+
+
+def term_tables(rows):
+    import re
+    from collections import Counter
+
+    tf = Counter((r[0], t) for r in rows for t in re.findall(r"[^\W_]+", (r[1] or "").lower()))
+    return tf, Counter(t for _, t in tf)
+
+
+def test_keywords_by_any_way_of_their_terms(spark):
+    """Same keywords whether terms are weighted in place or shuffled, salted or not; brute force."""
+    rows, req = odd_requests(spark)
+    tf, df = term_tables(rows)
+    want = {}
+    for (r, t), n in tf.items():
+        want.setdefault(r, []).append((-(n * 1000000 // df[t]), t))
+    want = {(r, k + 1, t, -w) for r, ws in want.items() for k, (w, t) in enumerate(sorted(ws)[:10])}
+    for hot in (None, [], ["und0", "w0", "t3"]):
+        for frequent in (0, 6, C.FREQUENT):
+            got = [tuple(x) for x in C.top_keywords(req, hot=hot, frequent=frequent).select("request_id", "rank", "term", "weight").collect()]
+            assert len(got) == len(want) and set(got) == want
+
+
+def test_frequent_terms_are_not_shuffled(spark):
+    """Only the rows of seldom terms are shuffled by term; texts of their own are counted in place."""
+    rows = [(i, " ".join(f"w{k}" for k in range(50)) + f" own{i}", 10, "", "") for i in range(200)]
+    req = spark.createDataFrame(rows, REQ)
+    here, shuffled = C._weight_parts(req, frequent=60)
+    assert here.count() == 200 * 50 and shuffled.count() == 200
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(term" not in plan
+    assert C._leading(here, 3).count() < 200 * 5
+
+
+def test_extractive_by_any_way_of_its_terms(spark):
+    rows, req = odd_requests(spark)
+    want = None
+    for frequent in (C.FREQUENT, 0, 6):
+        got = sorted((x.request_id, x.summary_text) for x in C.extractive_summaries(req, frequent=frequent).collect())
+        want = want or got
+        assert got == want and len({r for r, _ in got}) > 30
+    # the whole table in one corpus gives the same weights as none where ids are keys
+    keyed = req.where("request_id >= 100 and request_id < 900")
+    assert sorted(map(tuple, C.extractive_summaries(keyed, keyed).collect())) == sorted(map(tuple, C.extractive_summaries(keyed).collect()))

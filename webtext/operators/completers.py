@@ -16,12 +16,16 @@ a failed job.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count, words, ws_trim
+from ..session import written_table
 
 COMPLETION_COLS = [
     "request_id", "text", "model", "prompt_tokens", "completion_tokens",
@@ -35,6 +39,7 @@ SENTENCE_RE = "[^.!?\\n]+[.!?]*"
 TERM_RE = "[\\p{L}\\p{N}]+"
 WEIGHT_SCALE = 1000000
 TOP_KEYWORDS = 10
+FREQUENT = 200000  # terms whose document frequencies are copied to all tasks (about 20 MB)
 
 
 def failure_message(failure: Column, cause: Column) -> Column:
@@ -197,36 +202,90 @@ def _frequencies(docs: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _weights(tf: DataFrame, corpus: DataFrame | None, extra: tuple[str, ...] = (), dfreq: DataFrame | None = None) -> DataFrame:
-    """Join ``df`` to the term counts. ``df`` is counted from ``tf`` itself, so
-    both consumers share one exchange and the texts are tokenized once. It is the only term-keyed shuffle and combines map-side,
-    so a term found in most documents ships one partial count per partition.
-    The join is broadcast by adaptive execution when the measured vocabulary
-    is small, else a sort-merge join whose hot-term partitions adaptive skew
-    handling splits. ``dfreq`` gives (term, df) where the caller has it; other terms count as one text's."""
-    if dfreq is not None:
-        corpus = dfreq
-    elif corpus is None:
-        # ``sum(tf)`` keeps the term-count aggregate itself in this branch
-        # (a plain count would be pruned to a distinct), so both consumers of
-        # ``tf`` share one exchange and the texts are tokenized once.
-        dfreq = (
-            tf.groupBy("term")
-            .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_occurrences"))
-            .filter(F.col("_occurrences") > 0)
-            .select("term", "df")
-        )
-    else:
-        dfreq = (
-            corpus.select("request_id", F.explode(F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_RE), 0)).alias("term"))
-            .distinct()
-            .groupBy("term")
-            .agg(F.count(F.lit(1)).alias("df"))
-        )
-    # a term that an external corpus does not hold weighs like one of a single document
-    return tf.join(dfreq, "term", "inner" if corpus is None else "left").withColumn("df", F.coalesce("df", F.lit(1))).select(
-        "request_id", "term", "tf", "df", F.expr(f"(tf * {WEIGHT_SCALE}) div df").alias("weight"), *extra
-    )
+def _runs(docs: DataFrame, items: str, term: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``starts``: the places in the sorted array ``items`` where another term begins, and one past its end."""
+    first = F.transform(items, lambda x, i: F.when((i == 0) | (term(x) != term(F.get(items, i - 1))), i))
+    return docs.withColumn("starts", F.concat(F.filter(first, lambda i: i.isNotNull()), F.array(F.size(items))))
+
+
+def _run_length(start: Column, i: Column) -> Column:
+    return F.get("starts", i + 1) - start
+
+
+def _begun(groups: Callable[[Column, Column], Column]) -> Column:
+    return F.transform(F.slice("starts", 1, F.size("starts") - 1), groups)
+
+
+def _once_and_again(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``request_id`` is found once, and those that share one (or NULL) with others.
+
+    A text of its own is counted in place, so its terms are not shuffled by request."""
+    again = docs.groupBy("request_id").count().where("count > 1").select(F.col("request_id").alias("_repeated"))
+    again = written_table(again, "repeated-requests")
+    same = F.col("request_id").eqNullSafe(F.col("_repeated"))
+    return docs.join(again, same, "left_anti"), docs.join(again, same, "left_semi")
+
+
+def _request_counts(requests: DataFrame) -> DataFrame:
+    """``tf`` per (request, term): in place where the request is one row, else by :func:`_term_counts`."""
+    once, again = _once_and_again(requests.select("request_id", "content"))
+    terms = F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_RE), 0)
+    runs = _runs(once.select("request_id", F.sort_array(terms).alias("terms")), "terms", lambda t: t)
+    found = _begun(lambda start, i: F.struct(F.get("terms", start).alias("term"), _run_length(start, i).cast("long").alias("tf")))
+    counted = runs.select("request_id", F.explode_outer(found).alias("found")).filter(F.col("found").isNotNull()).select("request_id", "found.*")
+    return counted.unionByName(_term_counts(again.select("request_id", terms.alias("terms"))))
+
+
+def _least_frequent(dfreq: DataFrame, most: int) -> int | None:
+    """The least ``df`` from which on there are at most ``most`` terms; None if even the most frequent are more."""
+    steps = dfreq.groupBy(F.floor(F.log2("df") * 8).alias("step")).agg(F.min("df").alias("df"), F.count(F.lit(1)).alias("n"))
+    least, held = None, 0
+    for r in sorted(steps.collect(), key=lambda r: -r["step"]):  # a few hundred rows
+        held += r["n"]
+        if held > most:
+            break
+        least = r["df"]
+    return least
+
+
+def _weights(tf: DataFrame, dfreq: DataFrame, extra: tuple[str, ...] = (), hot: list[str] | None = None, salts: int = 64, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame | None]:
+    """Joins ``df`` to the term counts: (rows weighted in place, rows that were shuffled by term or None).
+
+    The frequencies of the ``frequent`` most frequent terms are copied to all tasks, so most rows
+    of natural texts stay where they are; the rows of all other terms are shuffled by term, that of
+    ``hot`` terms in ``salts`` parts each, by request. A term that ``dfreq`` does not hold counts as one text's."""
+    stored = written_table(dfreq.select("term", F.col("df").cast("long").alias("df")), "term-frequencies")
+    on, keyed = ["term"], tf
+
+    def copies(terms: DataFrame) -> DataFrame:
+        return terms
+
+    if hot is not None:
+        on = ["term", "salt"]
+        is_hot = F.col("term").isin(hot) if hot else F.lit(False)
+        keyed = tf.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("request_id"), F.lit(salts))).otherwise(0).cast("int"))
+
+        def copies(terms: DataFrame) -> DataFrame:
+            salt = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+            return terms.select("term", "df", F.explode(salt).alias("salt"))
+
+    def weighted(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("df", F.coalesce("df", F.lit(1).cast("long")))
+        return rows.select("request_id", "term", "tf", "df", F.expr(f"(tf * {WEIGHT_SCALE}L) div df").alias("weight"), *extra)
+
+    least = _least_frequent(stored, frequent)
+    if least is None:
+        none = stored.where(F.lit(False))
+        return weighted(keyed.join(F.broadcast(copies(none)), on)), weighted(keyed.join(copies(stored), on, "left"))
+    if least <= 1:
+        return weighted(keyed.join(F.broadcast(copies(stored)), on, "left")), None
+    often, seldom = copies(stored.where(F.col("df") >= least)), copies(stored.where(F.col("df") < least))
+    rest = keyed.join(F.broadcast(often.select(*on)), on, "left_anti").join(seldom, on, "left")
+    return weighted(keyed.join(F.broadcast(often), on)), weighted(rest)
+
+
+def _both(parts: tuple[DataFrame, DataFrame | None]) -> DataFrame:
+    return parts[0] if parts[1] is None else parts[0].unionByName(parts[1])
 
 
 def hot_terms(requests: DataFrame, share: float = 0.01, most: int = 256, tracked: int = 20000) -> list[str]:
@@ -241,17 +300,18 @@ def hot_terms(requests: DataFrame, share: float = 0.01, most: int = 256, tracked
     return [r["item"] for r in found or [] if r["item"] is not None and r["count"] >= least]
 
 
-def salted_weights(tf: DataFrame, hot: list[str], salts: int = 64) -> DataFrame:
-    """:func:`_weights` where the rows of the ``hot`` terms join in ``salts`` parts each, by request.
+def _weight_parts(requests: DataFrame, corpus: DataFrame | None = None, hot: list[str] | None = None, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame | None]:
+    tf = _request_counts(requests)
+    if corpus is None:
+        dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        dfreq = _corpus_frequencies(corpus)
+    return _weights(tf, dfreq, hot=hot, frequent=frequent)
+
 
-    A term's counts are combined before its frequency is copied to its salts, so a term of half of
-    all texts costs ``salts`` more rows on one side and no task gets all rows of the other."""
-    is_hot = F.col("term").isin(hot) if hot else F.lit(False)
-    salted = tf.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("request_id"), F.lit(salts))).otherwise(0).cast("int"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_occurrences")).filter(F.col("_occurrences") > 0)
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    dfreq = dfreq.select("term", "df", F.explode(copies).alias("salt"))
-    return salted.join(dfreq, ["term", "salt"]).select("request_id", "term", "tf", "df", F.expr(f"(tf * {WEIGHT_SCALE}) div df").alias("weight"))
+def _corpus_frequencies(corpus: DataFrame) -> DataFrame:
+    found = corpus.select("request_id", F.explode(F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_RE), 0)).alias("term"))
+    return found.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def term_weights(requests: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
@@ -260,40 +320,49 @@ def term_weights(requests: DataFrame, corpus: DataFrame | None = None) -> DataFr
     Terms are letter/digit runs, which never cross a sentence terminator, and
     every other character belongs to some sentence, so tokenizing whole texts
     gives exactly the terms of the sentences without splitting them first."""
-    docs = requests.select(
-        "request_id", F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_RE), 0).alias("terms")
-    )
-    return _weights(_term_counts(docs), corpus)
+    return _both(_weight_parts(requests, corpus))
 
 
-def extractive_summaries(requests: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+def _positions(docs: DataFrame) -> DataFrame:
+    """(request_id, term, tf, positions): every different term of a request with one (pos, n_words) of its
+    sentence per occurrence. A sentence without terms stands under the empty term."""
+    once, again = _once_and_again(docs.select("request_id", "content"))
+    lines = F.filter(_sentences(F.col("content")), lambda s: s != "")
+    cut = F.transform(lines, lambda s, i: F.struct(i.alias("pos"), word_count(s).alias("n_words"), F.regexp_extract_all(F.lower(s), F.lit(TERM_RE), 0).alias("terms")))
+    held = F.transform("cut", lambda s: F.transform(
+        F.when(F.size(s["terms"]) > 0, s["terms"]).otherwise(F.array(F.lit(""))), lambda t: F.struct(t.alias("term"), s["pos"].alias("pos"), s["n_words"].alias("n_words"))))
+    at = _runs(once.select("request_id", cut.alias("cut")).select("request_id", F.sort_array(F.flatten(held)).alias("items")), "items", lambda x: x["term"])
+    found = _begun(lambda start, i: F.struct(
+        F.get("items", start)["term"].alias("term"), _run_length(start, i).cast("long").alias("tf"),
+        F.transform(F.slice("items", start + 1, _run_length(start, i)), lambda x: F.struct(x["pos"].alias("pos"), x["n_words"].alias("n_words"))).alias("positions")))
+    single = at.select("request_id", F.explode_outer(found).alias("found")).filter(F.col("found").isNotNull()).select("request_id", "found.*")
+    sentences = sentence_table(again).select("request_id", F.struct("pos", word_count(F.col("sentence")).alias("n_words")).alias("at"), "terms")
+    shared = sentences.select("request_id", "at", F.explode_outer("terms").alias("term")).groupBy("request_id", F.coalesce("term", F.lit("")).alias("term"))
+    shared = shared.agg(F.count(F.lit(1)).alias("tf"), F.collect_list("at").alias("positions"))
+    return single.unionByName(shared)
+
+
+def extractive_summaries(requests: DataFrame, corpus: DataFrame | None = None, frequent: int = FREQUENT) -> DataFrame:
     """S11 text per request: best sentences by summed term weight (ties: earlier
     first) taken while the words before them are under ``max_length``, output
     in document order; ``bullet_points`` gives one ``- `` line per sentence.
 
-    Scoring and ranking see no text: the terms of every sentence are shuffled
-    once, by request (all consumers read the same exchange), then only
-    (request_id, pos, word count, score). The chosen positions are joined back
+    Scoring and ranking see no text: a text's terms are grouped in place (:func:`_positions`), and
+    most get their weights there (:func:`_weights`). Only sums per sentence are shuffled by request,
+    and the rows of seldom terms by term. The chosen positions are joined back
     to the texts, which are cut into sentences again; that is cheaper than
     carrying or writing them. Every group (a request's sentences, a
     request-term's positions) is bounded by one text.
     """
     docs = requests.select("request_id", "content", "max_length", "style")
-    # One aggregate per (request, term) gives both the term count and the
-    # sentence positions holding the term, so the weight is joined once per
-    # (request, term). A sentence without terms stands under the empty term.
-    at = F.struct("pos", word_count(F.col("sentence")).alias("n_words"))
-    sentences = sentence_table(docs).select("request_id", at.alias("at"), "terms").repartition("request_id")
-    found = sentences.select("request_id", "at", F.explode_outer("terms").alias("term"))
-    per_term = found.groupBy("request_id", F.coalesce("term", F.lit("")).alias("term")).agg(F.collect_list("at").alias("positions"))
-    # counting df from the texts costs a second pass over them, less than the same lists of positions twice
-    dfreq = _frequencies(docs) if corpus is None else None
-    weights = _weights(per_term.withColumn("tf", F.size("positions")), corpus, ("positions",), dfreq)
-    # back by request as one row per term; positions are exploded after the shuffle, and both aggregates keep its partitioning
-    weights = weights.select("request_id", F.when(F.col("term") == "", 0).otherwise(F.col("weight")).alias("weight"), "positions").repartition("request_id")
-    weights = weights.select("request_id", "weight", F.explode("positions").alias("at"))
-    scores = weights.groupBy("request_id", "at").agg(F.sum("weight").alias("score"))
-    ranked = scores.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "at.pos", "at.n_words"))).alias("_r"))
+    # counting df from the texts costs a second pass over them, less than lists of positions twice
+    dfreq = _frequencies(docs) if corpus is None else _corpus_frequencies(corpus)
+    # the empty term, of which many sentences may be, counts as so frequent that it weighs 0
+    dfreq = dfreq.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(1 << 62).alias("df")))
+    weights = _both(_weights(_positions(docs), dfreq, ("positions",), frequent=frequent))
+    weights = weights.select("request_id", "weight", F.explode("positions").alias("at")).select("request_id", "weight", "at.*")
+    scores = weights.groupBy("request_id", "pos", "n_words").agg(F.sum("weight").alias("score"))
+    ranked = scores.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "pos", "n_words"))).alias("_r"))
     # the chosen sentences are the first ones of the ranking: one pass counts them
     start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).alias("n"))
     taken = F.aggregate(
@@ -320,18 +389,35 @@ def extractive_completer(corpus: DataFrame | None = None) -> Callable[[DataFrame
     return run
 
 
-def top_keywords(requests: DataFrame, corpus: DataFrame | None = None, k: int = TOP_KEYWORDS, hot: list[str] | None = None) -> DataFrame:
+def _leading(rows: DataFrame, k: int) -> DataFrame:
+    """Of every batch of rows the first ``k`` per request by weight desc, then term: all that can rank.
+
+    Rows weighted in place come text by text, so this keeps little more than ``k`` rows of a text
+    and the sort for the window no longer holds (and spills) every term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            request = b.column("request_id").dictionary_encode("encode").indices
+            keys = pa.table({"request": request, "weight": b.column("weight"), "term": b.column("term")})
+            order = pc.sort_indices(keys, sort_keys=[("request", "ascending"), ("weight", "descending"), ("term", "ascending")]).to_numpy()
+            request, place = request.to_numpy()[order], np.arange(len(order))
+            new = np.concatenate([[True], request[1:] != request[:-1]])
+            yield b.take(pa.array(order[place - np.maximum.accumulate(np.where(new, place, 0)) < k]))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def top_keywords(requests: DataFrame, corpus: DataFrame | None = None, k: int = TOP_KEYWORDS, hot: list[str] | None = None, frequent: int = FREQUENT) -> DataFrame:
     """Up to ``k`` terms per request ranked by weight desc, then term.
     With ``hot`` (:func:`hot_terms`) the weight join splits these terms by salt.
 
     ``row_number() <= k`` over a window lets Spark apply the per-group limit
     before the shuffle (window group limit), so each request ships at most k
     rows per partition."""
-    if hot is None:
-        weights = term_weights(requests, corpus)
-    else:
-        terms = F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_RE), 0)
-        weights = salted_weights(_term_counts(requests.select("request_id", terms.alias("terms"))), hot)
+    here, shuffled = _weight_parts(requests, corpus if hot is None else None, hot, frequent)
+    weights = _both((_leading(here, k), shuffled))
     w = Window.partitionBy("request_id").orderBy(F.col("weight").desc(), F.col("term"))
     return weights.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

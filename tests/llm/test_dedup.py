@@ -260,3 +260,21 @@ def test_digest_columns(spark, tmp_path):
     frame(spark, documents()).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in exact_dedup.op2_exact_dedup(spark, str(tmp_path)).where(F.col("doc_id").isNotNull()).collect()}
     assert got[0].text_sha256 == hashlib.sha256(documents()[0][1].encode()).hexdigest()
+
+
+def test_classes_of_equal_strings_by_brute_force():
+    """Every class of equal strings is found whole, the last one in the sort order too."""
+    rng = random.Random(5)
+    for _ in range(150):
+        letters = rng.choice([[0], [0, 255], [97, 98], list(range(256))])
+        contexts = [bytes(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 9))]
+        contexts += contexts[:3]
+        for length in (1, 4, 16, 32):
+            want: dict[bytes, set] = {}
+            for c, text in enumerate(contexts):
+                for p in range(len(text) - length + 1):
+                    want.setdefault(text[p:p + length], set()).add((c, p))
+            got: dict[int, set] = {}
+            for kind, c, p in zip(*suffix_dedup.equal_strings(contexts, length), strict=True):
+                got.setdefault(int(kind), set()).add((int(c), int(p)))
+            assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))

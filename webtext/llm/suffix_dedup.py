@@ -49,6 +49,7 @@ from webtext.llm.ranges import cut_texts, document_rows, merged_ranges, without_
 LENGTH, GRAM = 100, 32
 PART = 1 << 20  # bytes of a text whose anchors are found at a time
 INDEX_BITS = 21  # positions of one suffix array
+BLOCK = 1 << 17  # bytes sorted at once, but for one anchor's: its arrays stay in the cores' caches
 WIDE = 4096  # contexts of an anchor in one shard
 STEPS = 4
 
@@ -147,19 +148,19 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = key * np.uint64(257) + padded[k:n + k]
     packed = np.sort((key << bits) | np.arange(n, dtype=np.uint64))
     sa, key = (packed & low).astype(np.int64), packed >> bits
-    rank, slots, depth = np.empty(n, np.int64), np.arange(n), 5
+    # ranks by place; the end has rank 0
+    rank, slots, depth = np.zeros(n + 1, np.int32), np.arange(n), 5
     new = np.concatenate([[True], key[1:] != key[:-1]])
     while True:
-        # the rank of a group is its first slot; groups of one are sorted
+        # the rank of a group is its first slot, from 1; groups of one are sorted
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(slots)))
-        rank[sa[slots]] = np.repeat(slots[starts], sizes)
+        rank[sa[slots]] = np.repeat(slots[starts], sizes) + 1
         slots = slots[np.repeat(sizes > 1, sizes)]
         if not len(slots):
-            return sa, rank
+            return sa, rank[:n] - 1
         at = sa[slots]
-        after = at + depth
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0).astype(np.uint64)
+        second = rank.take(at + depth, mode="clip").astype(np.uint64)  # past the end: the end
         packed = np.sort((rank[at].astype(np.uint64) << np.uint64(2 * INDEX_BITS + 1)) | (second << bits) | at.astype(np.uint64))
         sa[slots] = (packed & low).astype(np.int64)
         pair = packed >> bits
@@ -171,23 +172,33 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, cap: int, stride: int = 16
     """For every slot the bytes, up to ``cap``, that its suffix shares with the one before.
 
     Kasai's rule: the suffix one place further shares at least one byte less.
-    It is applied to all places of equal remainder by ``stride`` at a time.
+    It is applied to all places of equal remainder by ``stride`` at a time; eight bytes are compared at once.
     """
     n = len(data)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[1:]], before[sa[0]] = sa[:-1], -1
-    padded = np.concatenate([data.astype(np.int16), np.full(cap, -1, np.int16)])
-    shared, known = np.zeros(n, np.int64), np.zeros(0, np.int64)
+    padded = np.concatenate([data, np.zeros(cap + 8, np.uint8)])
+    words = np.zeros(n + cap, np.uint64)  # the eight bytes from every place, the first one lowest
+    for k in range(8):
+        words |= padded[k:n + cap + k].astype(np.uint64) << np.uint64(8 * k)
+    shared, known = np.zeros(n, np.int32), np.zeros(0, np.int32)
     for r in range(min(stride, n)):
         at = np.arange(r, n, stride)
-        got = np.maximum(known[:len(at)] - 1, 0) if r else np.zeros(len(at), np.int64)
-        got[before[at] < 0] = 0
-        todo = np.flatnonzero((before[at] >= 0) & (got < cap))
+        other = before[at]
+        # a suffix ends where the data do, so its length bounds what it shares
+        most = np.minimum(cap, n - np.maximum(at, other)).astype(np.int32)
+        most[other < 0] = 0
+        got = np.minimum(np.maximum(known[:len(at)] - 1, 0), most) if r else np.zeros(len(at), np.int32)
+        todo = np.flatnonzero(got < most)
         while len(todo):
-            x, y = at[todo] + got[todo], before[at[todo]] + got[todo]
-            todo = todo[(padded[x] == padded[y]) & (padded[x] >= 0)]
-            got[todo] += 1
-            todo = todo[got[todo] < cap]
+            have = got[todo]
+            differ = words.take(at[todo] + have, mode="clip") ^ words.take(other[todo] + have, mode="clip")
+            same = differ == 0
+            lowest = differ & (~differ + np.uint64(1))
+            more = np.where(same, 8, (np.frexp(lowest.astype(np.float64))[1] - 1) >> 3).astype(np.int32)
+            got[todo] = np.minimum(have + more, most[todo])
+            todo = todo[same]
+            todo = todo[got[todo] < most[todo]]
         shared[at] = known = got
     return shared[sa]
 
@@ -197,19 +208,18 @@ def equal_strings(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     sizes = np.array([len(c) for c in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts), np.uint8)
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    inside = np.arange(len(data)) <= ends[owner] - length
+    owner = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes)
+    inside = np.arange(len(data)) <= np.repeat(ends, sizes) - length
     sa, _ = suffix_array(data)
     shared = common_prefixes(data, sa, length)
     slots = np.flatnonzero(inside[sa])
     if not len(slots):
         return (np.empty(0, np.int64),) * 3
-    least = np.minimum.reduceat(shared, np.append([0], slots[:-1] + 1)) if len(slots) > 1 else shared[:1]
-    # least[k]: bytes shared by the strings at slots k - 1 and k
-    new = least < length
-    new[0] = True
-    at = sa[slots]
-    return np.cumsum(new) - 1, owner[at], at - (ends - sizes)[owner[at]]
+    # strings at two slots differ if any neighbours from one to the other share less than ``length`` bytes
+    cuts = np.cumsum(shared < length)[slots]
+    at, new = sa[slots], np.concatenate([[True], cuts[1:] != cuts[:-1]])
+    who = owner[at].astype(np.int64)
+    return np.cumsum(new) - 1, who, at - (ends - sizes)[who]
 
 
 #: A document in pandas: an id of 0 and the mark ``nameless`` for a null id, beside which pandas would round others.
@@ -246,7 +256,7 @@ def _shard(part: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
     starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     for s, e in zip(starts, np.append(starts[1:], len(part)), strict=True):
         grown = int(size[s:e].sum())
-        if block and held + grown > 1 << INDEX_BITS:
+        if block and held + grown > BLOCK:
             yield _block(part.iloc[block[0]:block[-1]], length)
             block, held = [], 0
         block, held = [block[0] if block else s, e], held + grown
